@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +52,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
 def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch before whole texts go to Python."""
+    """Before whole texts go to Python: bound the rows of an Arrow batch, ship this package once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tablewright.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((top / "tablewright").rglob("*.py")):
+                z.write(f, f.relative_to(top))
+        spark.sparkContext.addPyFile(str(archive))  # Spark hands it to the executors
+        _shipped.add(app)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
