@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, toxicity
+from . import bpe, jaccard, packing, quality, secrets, sharding, toxicity
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -41,7 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scans, op4_best_fit_packing, op7_bpe, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scans, op4_best_fit_packing, op6_ngram_jaccard, op7_bpe, op9_sharding)}
 
 ORACLES: dict[str, str] = {}
 
@@ -65,3 +69,15 @@ v AS (SELECT source, max((k + mean * strength) / (n + strength)) >= 0.5 AS host_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
+
+ORACLES["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 2), ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 90 * (a.n + b.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.v FROM r JOIN l ON r.b = l.u)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = w.doc_id
+"""
