@@ -19,6 +19,7 @@ ignored. A document's ids are held in one task, its pieces are 44-byte rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import settle, text_batches
 
 CAPACITY = 2048
@@ -38,7 +40,12 @@ CLOSING_ID = 0
 #: Pieces of one length are ranked in so many buckets.
 BUCKETS = 256
 NODES, FILLINGS, LEAVES = 4_000, 6, 60
-CACHE = 400_000
+#: Entries that each cache may hold.
+CACHE = 300_000
+#: Fixed value: the vocabulary's word pattern, on lower-cased text.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Printable ASCII and Latin letters, which normalization leaves as they are but for their case.
+LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 #: A filling: piece lengths, largest first. A plan: fillings and how often each is used.
 Filling = tuple[int, ...]
@@ -197,47 +204,58 @@ def segments(plan: Plan) -> np.ndarray:
 
 
 class Words(dict):
-    """Ids of white-space separated chunks, packed; chunks never merge over white space."""
+    """Packed ids of white-space separated chunks; tokens never reach over white space.
+
+    A new chunk of Latin letters and marks is cut into words here and each word
+    goes to the tokenizer's model once; all else goes through the whole
+    tokenizer. What is kept is bounded.
+    """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if not t[1].normalized]
-        self.mark, self.mark_id = special[0][1].content, special[0][0]
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode unknown chunks in one call, with a special token between each two."""
-        if len(self) + len(chunks) > CACHE:
-            self.clear()
-        new = [c for c in chunks if c not in self]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            ids = self.ids(f" {self.mark} ".join(c.decode() for c in some))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            packed = ids.tobytes()
-            for c, a, b in zip(some, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(packed)], strict=True):
-                self[c] = packed[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts."""
-        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
-        out = []
-        for t, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(self.ids(t).tobytes())
-                continue
-            try:
-                out.append(b"".join(map(self.__getitem__, chunks)))
-            except KeyError:
-                self.learn(set(chunks))
-                out.append(b"".join(map(self.__getitem__, chunks)))
-        return out
+        self.model = self.tokenizer.model
+        self.bytes = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
+        self.word = regex.compile(WORD)
+        self.late: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        packed = self.late.get(chunk)
+        if packed is None:
+            text = chunk.decode()
+            if LATIN.fullmatch(text):
+                packed = b"".join([self.words.get(w) or self.keep(w) for w in self.word.findall(text.lower())])
+            else:
+                packed = self.ids(text)
+            if len(self) < CACHE:
+                self[chunk] = packed
+            else:
+                if len(self.late) >= CACHE // 4:
+                    self.late.clear()
+                self.late[chunk] = packed
+        return packed
+
+    def keep(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        packed = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        self.words[word] = packed
+        return packed
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a whole text."""
+        if "<|" in text:  # may hold a special token
+            return self.ids(text)
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
 @cache
@@ -256,8 +274,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
         for batch in batches:
             rows: list[list[int]] = [[], [], [], [], []]
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, packed in enumerate(known.encode(texts)):
-                packed += close
+            for i, text in enumerate(texts):
+                packed = known.encode(text) + close
                 for k, a in enumerate(range(0, len(packed), 4 * capacity)):
                     piece = packed[a : a + 4 * capacity]
                     for column, value in zip(rows, (i, k, a // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
