@@ -138,35 +138,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document (doc_id, n, grams), and rows (slice, grams) with a task's counts of cells."""
+def _sizes(unique: DataFrame, n: int) -> DataFrame:
+    """A row per document (doc_id, n), and rows (slice, cells) with a task's counts of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "n", "grams", "slice"]
+        names = ["doc_id", "n", "cells", "slice"]
         for batch in batches:
             found = [grams(t.as_py(), n) for t in batch.column("text")]
             if found:
                 cells += np.bincount((np.concatenate(found) >> np.uint64(48)).astype(np.int64), minlength=CELLS)
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary()), pa.nulls(len(found), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32())], names=names)
         each = CELLS // SLICES
         data = [cells[k * each : (k + 1) * each].tobytes() for k in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(data, pa.binary()), pa.array(range(SLICES), pa.int32())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n int, grams binary, slice int")
+    return unique.mapInArrow(run, "doc_id long, n int, cells binary, slice int")
+
+
+def _sets(unique: DataFrame, n: int, brief: bool = False) -> DataFrame:
+    """(doc_id, n, grams): each text's set, or its partition counts if brief."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(t.as_py(), n) for t in batch.column("text")]
+            data = [(partitions(x) if brief else x).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "n", "grams"])
+
+    return unique.mapInArrow(run, "doc_id long, n int, grams binary")
 
 
 def _cell_order(counted: DataFrame) -> np.ndarray:
     """The place of each cell in rare-first order, from all tasks' counts, summed in two levels."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in rows["grams"])
-        return pd.DataFrame({"slice": [key[0]], "grams": [total.tobytes()]})
+        total = sum(np.frombuffer(x, np.int64) for x in rows["cells"])
+        return pd.DataFrame({"slice": [key[0]], "cells": [total.tobytes()]})
 
-    parts = counted.withColumn("salt", F.pmod(F.xxhash64("grams"), F.lit(16))).groupBy("slice", "salt").applyInPandas(add, "slice int, grams binary")
-    rows = parts.groupBy("slice").applyInPandas(add, "slice int, grams binary").orderBy("slice").collect()  # 64 rows of 8 KB
-    counts = np.concatenate([np.frombuffer(r["grams"], np.int64) for r in rows])
+    parts = counted.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(16))).groupBy("slice", "salt").applyInPandas(add, "slice int, cells binary")
+    rows = sorted(parts.groupBy("slice").applyInPandas(add, "slice int, cells binary").collect())  # 64 rows of 8 KB
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["cells"], np.int64) for r in rows)])
+    counts = counts if len(counts) == CELLS else np.zeros(CELLS, np.int64)
     place = np.empty(CELLS, np.uint16)
     place[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint16)
     return place
@@ -176,22 +188,23 @@ def _in_order(s: np.ndarray, place: np.ndarray) -> np.ndarray:
     return s[np.argsort(place[(s >> np.uint64(48)).astype(np.int64)], kind="stable")]
 
 
-def _prefixes(sets: DataFrame, place: np.ndarray, percent: int) -> DataFrame:
-    sent = sets.sparkSession.sparkContext.broadcast(place)  # 128 KB
+def _prefixes(unique: DataFrame, place: np.ndarray, n: int, percent: int) -> DataFrame:
+    sent = unique.sparkSession.sparkContext.broadcast(place)  # 128 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, sizes = [], []
-            for x in batch.column("grams"):
-                s = np.frombuffer(x.as_py(), np.uint64)
+            heads, sizes, lengths = [], [], []
+            for text in batch.column("text"):
+                s = grams(text.as_py(), n)
                 heads.append(_in_order(s, sent.value)[: len(s) + (-percent * len(s) // 100) + 1] if len(s) else s)
                 sizes.append(len(heads[-1]))
+                lengths.append(len(s))
             gram = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             rows = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column("doc_id").take(pa.array(rows)), batch.column("n").take(pa.array(rows)), pa.array(pos)], names=["gram", "doc_id", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column("doc_id").take(pa.array(rows)), pa.array(np.repeat(np.array(lengths, np.int32), sizes)), pa.array(pos)], names=["gram", "doc_id", "n", "pos"])
 
-    return sets.select("doc_id", "n", "grams").mapInArrow(run, "gram long, doc_id long, n int, pos int")
+    return unique.mapInArrow(run, "gram long, doc_id long, n int, pos int")
 
 
 def _pairs(few: DataFrame, percent: int) -> DataFrame:
@@ -203,13 +216,12 @@ def _pairs(few: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "gram").filter((F.col("u") < F.col("v")) & length & place).select("u", "v").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the suffix filter and then the exact test."""
+def _verified(pairs: DataFrame, unique: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among the pairs that connect the same documents as all links do.
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [partitions(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column("grams")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(data, pa.binary())], names=["doc_id", "n", "grams"])
+    All pairs meet the suffix filter. Of those that pass, each document's pair with
+    its smallest partner is tested first, then all pairs that aren't connected yet.
+    """
 
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,30 +236,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    def with_sets(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame, brief: bool) -> DataFrame:
+        ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "jaccard-ids")
+        table = settle(_sets(semi(unique, ids, "left_semi"), n, brief), "jaccard-needed")
         u = table.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("grams").alias("gu"))
         v = table.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("grams").alias("gv"))
         return pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "gu", "gv")
 
-    def ids(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-
-    rows = sets.select("doc_id", "n", "grams")
-    brief = semi(rows, ids(pairs), "left_semi").mapInArrow(short, "doc_id long, n int, grams binary")
-    left = settle(with_sets(pairs, settle(brief, "jaccard-brief")).mapInArrow(suffix, "u long, v long"), "jaccard-pairs")
-    needed = semi(rows, ids(left), "left_semi")
-    return with_sets(left, needed).mapInArrow(exact, "u long, v long")
+    left = settle(with_sets(pairs, True).mapInArrow(suffix, "u long, v long"), "jaccard-pairs")
+    first = settle(left.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "jaccard-first")
+    links = settle(with_sets(first, False).mapInArrow(exact, "u long, v long"), "jaccard-links")
+    roots = components(links)
+    u, v = roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), roots.select(F.col("id").alias("v"), F.col("root").alias("rv"))
+    apart = ~F.coalesce("ru", "u").eqNullSafe(F.coalesce("rv", "v"))
+    rest = left.join(first, ["u", "v"], "left_anti").join(u, "u", "left").join(v, "v", "left").filter(apart).select("u", "v")
+    return links.unionAll(with_sets(settle(rest, "jaccard-rest"), False).mapInArrow(exact, "u long, v long"))
 
 
-def _block_links(many: DataFrame, sets: DataFrame, place: np.ndarray, percent: int) -> DataFrame:
+def _block_links(many: DataFrame, unique: DataFrame, place: np.ndarray, n: int, percent: int) -> DataFrame:
     """Forest links among documents that share an n-gram of many documents."""
     spark = many.sparkSession
     sent = spark.sparkContext.broadcast(place)
     hub = many.groupBy("gram").agg(F.min("doc_id").alias("v"))
     cluster = components(many.select("gram", F.col("doc_id").alias("u")).join(hub, "gram").select("u", "v"))
     cluster = settle(cluster.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")), "jaccard-clusters")
-    sized = semi(sets.select("doc_id", "n", "grams"), cluster.select("doc_id"), "left_semi").join(cluster, "doc_id")
-    sized = settle(sized, "jaccard-block-sets")
+    sized = settle(_sets(semi(unique, cluster.select("doc_id"), "left_semi"), n).join(cluster, "doc_id"), "jaccard-block-sets")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -308,19 +321,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         unique = rows.join(F.broadcast(spare), "doc_id", "left_anti")
     else:
         unique = rows.join(spare.hint("shuffle_hash"), "doc_id", "left_anti")
-    made = settle(_sets(unique, n), "jaccard-sets")
-    sets = made.filter("slice IS NULL AND n > 0")
-    place = _cell_order(made.filter("slice IS NOT NULL").select("slice", "grams"))
+    made = settle(_sizes(unique, n), "jaccard-sizes")
+    size = made.filter("slice IS NULL AND n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
+    place = _cell_order(made.filter("slice IS NOT NULL").select("slice", "cells"))
 
-    prefix = settle(_prefixes(sets, place, percent), "jaccard-prefixes")
+    prefix = settle(_prefixes(unique, place, n, percent), "jaccard-prefixes")
     shared = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     shared = settle(prefix.join(shared, "gram"), "jaccard-shared")
     few = settle(_pairs(shared.filter(F.col("docs") <= FEW), percent), "jaccard-candidates")
     many = shared.filter(F.col("docs") > FEW).select("gram", "doc_id")
-    links = _verified(few, sets, percent).unionAll(_block_links(many, sets, place, percent))
+    links = _verified(few, unique, n, percent).unionAll(_block_links(many, unique, place, n, percent))
     roots = components(links)
 
-    size = sets.groupBy("doc_id").agg(F.max("n").alias("n"))
     named = reps.join(size, F.col("rep") == F.col("doc_id"), "left").select("class", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
     named = named.join(roots, F.col("rep") == F.col("id"), "left").select("class", "n_shingles", F.coalesce("root", "rep").alias("root"))
     named = of.join(named, "class")
