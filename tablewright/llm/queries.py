@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lattice, packing, quality, secrets, sharding, toxicity
+from . import bpe, jaccard, lattice, packing, quality, secrets, sharding, toxicity, warc
 from .common import read
 
 
@@ -49,7 +49,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scans, op4_best_fit_packing, op6_ngram_jaccard, op7_bpe, op8_lm_scoring, op9_sharding)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scans, op4_best_fit_packing, op6_ngram_jaccard, op7_bpe, op8_lm_scoring, op9_sharding, op10_warc)}
 
 ORACLES: dict[str, str] = {}
 
@@ -85,3 +89,11 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.v FROM r JOIN l
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = w.doc_id
 """
+
+ORACLES["op10_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to FROM k
+"""
