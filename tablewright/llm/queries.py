@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lattice, packing, quality, secrets, sharding, toxicity, warc
+from . import bpe, jaccard, lattice, packing, quality, secrets, sharding, toxicity, warc, webp
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.store_texts(read(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scans, op4_best_fit_packing, op6_ngram_jaccard, op7_bpe, op8_lm_scoring, op9_sharding, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_ngram_jaccard, op7_bpe, op8_lm_scoring, op9_sharding, op10_warc)}
 
 ORACLES: dict[str, str] = {}
 
