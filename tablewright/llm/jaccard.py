@@ -4,9 +4,9 @@ Two documents link when ``100 * |A and B| >= percent * |A or B|``.
 
 1. Equal texts are one class; its smallest id stands for it.
 2. One pass turns every such text into its sorted 64-bit n-gram hashes and counts
-   all n-grams in a table of 65,536 cells (of fixed size, whatever the input).
-   The order of cells, rarest first, is a global order of n-grams; any global
-   order keeps prefix filtering exact, the rare-first one keeps it small.
+   all n-grams in a table of cells (about 32 n-grams to a cell, 16 million cells
+   at most). The order of n-grams by their cell's count, rarest first, is global;
+   any global order keeps prefix filtering exact, this one keeps it small.
 3. Each document hands out its prefix in that order: the n-grams of which a
    partner must hold at least one. N-grams in one prefix only go.
 4. Prefix n-grams that few documents share: a join on the n-gram, with the
@@ -30,7 +30,7 @@ ignored.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import settle, text_batches
 
-CELLS, SLICES = 1 << 16, 64
+#: log2 of the least and most cells; parts in which tasks hand over their counts.
+LEAST_BITS, MOST_BITS, SLICES = 16, 24, 64
 #: Documents that may share a prefix n-gram before it goes to blocks.
-FEW = 32
+FEW = 16
 #: Documents and n-grams that a block may hold, about.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 400_000
 #: Ids that may be broadcast; more are joined by a shuffle.
@@ -138,19 +139,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
-def _sizes(unique: DataFrame, n: int) -> DataFrame:
-    """A row per document (doc_id, n), and rows (slice, cells) with a task's counts of cells."""
+def _sizes(unique: DataFrame, n: int, bits: int) -> DataFrame:
+    """A row per document (doc_id, n), and rows (slice, cells) with a task's counts of cells, up to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "cells", "slice"]
+        waiting: list[np.ndarray] = []
+        held = 0
+
+        def count() -> None:
+            if waiting:
+                at = (np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.int64)
+                np.add(cells, np.bincount(at, minlength=len(cells)), out=cells, casting="unsafe")
+                waiting.clear()
+
         for batch in batches:
             found = [grams(t.as_py(), n) for t in batch.column("text")]
-            if found:
-                cells += np.bincount((np.concatenate(found) >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+            waiting += found
+            held += sum(map(len, found))
+            if held >= 1 << 21:
+                count()
+                held = 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32())], names=names)
-        each = CELLS // SLICES
-        data = [cells[k * each : (k + 1) * each].tobytes() for k in range(SLICES)]
+        count()
+        each = len(cells) // SLICES
+        data = [np.minimum(cells[k * each : (k + 1) * each], 255).astype(np.uint8).tobytes() for k in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(data, pa.binary()), pa.array(range(SLICES), pa.int32())], names=names)
 
     return unique.mapInArrow(run, "doc_id long, n int, cells binary, slice int")
@@ -168,28 +182,30 @@ def _sets(unique: DataFrame, n: int, brief: bool = False) -> DataFrame:
     return unique.mapInArrow(run, "doc_id long, n int, grams binary")
 
 
-def _cell_order(counted: DataFrame) -> np.ndarray:
-    """The place of each cell in rare-first order, from all tasks' counts, summed in two levels."""
+def _cell_counts(counted: DataFrame, bits: int) -> np.ndarray:
+    """Each cell's count over all tasks, up to 65,535, summed in two levels."""
+
+    def adding(kind: type) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x, kind).astype(np.int64) for x in rows["cells"])
+            return pd.DataFrame({"slice": [key[0]], "cells": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in rows["cells"])
-        return pd.DataFrame({"slice": [key[0]], "cells": [total.tobytes()]})
+        return add
 
-    parts = counted.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(16))).groupBy("slice", "salt").applyInPandas(add, "slice int, cells binary")
-    rows = sorted(parts.groupBy("slice").applyInPandas(add, "slice int, cells binary").collect())  # 64 rows of 8 KB
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["cells"], np.int64) for r in rows)])
-    counts = counts if len(counts) == CELLS else np.zeros(CELLS, np.int64)
-    place = np.empty(CELLS, np.uint16)
-    place[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint16)
-    return place
+    parts = counted.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(16))).groupBy("slice", "salt").applyInPandas(adding(np.uint8), "slice int, cells binary")
+    rows = sorted(parts.groupBy("slice").applyInPandas(adding(np.uint16), "slice int, cells binary").collect())  # at most 32 MB
+    counts = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r["cells"], np.uint16) for r in rows)])
+    return counts if len(counts) else np.zeros(1 << bits, np.uint16)
 
 
-def _in_order(s: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return s[np.argsort(place[(s >> np.uint64(48)).astype(np.int64)], kind="stable")]
+def _in_order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: by its cells' counts, then by value."""
+    cell = (s >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)
+    return s[np.argsort(counts[cell], kind="stable")]
 
 
-def _prefixes(unique: DataFrame, place: np.ndarray, n: int, percent: int) -> DataFrame:
-    sent = unique.sparkSession.sparkContext.broadcast(place)  # 128 KB
+def _prefixes(unique: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    sent = unique.sparkSession.sparkContext.broadcast(counts)  # at most 32 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,10 +269,10 @@ def _verified(pairs: DataFrame, unique: DataFrame, n: int, percent: int) -> Data
     return links.unionAll(with_sets(settle(rest, "jaccard-rest"), False).mapInArrow(exact, "u long, v long"))
 
 
-def _block_links(many: DataFrame, unique: DataFrame, place: np.ndarray, n: int, percent: int) -> DataFrame:
+def _block_links(many: DataFrame, unique: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
     """Forest links among documents that share an n-gram of many documents."""
     spark = many.sparkSession
-    sent = spark.sparkContext.broadcast(place)
+    sent = spark.sparkContext.broadcast(counts)
     hub = many.groupBy("gram").agg(F.min("doc_id").alias("v"))
     cluster = components(many.select("gram", F.col("doc_id").alias("u")).join(hub, "gram").select("u", "v"))
     cluster = settle(cluster.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")), "jaccard-clusters")
@@ -272,7 +288,7 @@ def _block_links(many: DataFrame, unique: DataFrame, place: np.ndarray, n: int,
         home = table.column("own").to_pylist()
         all_sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (len(all_sets[k]), ids[k]))
-        counts = [partitions(s) for s in all_sets]
+        spread = [partitions(s) for s in all_sets]
         parent = list(range(len(ids)))
 
         def root(x: int) -> int:
@@ -295,7 +311,7 @@ def _block_links(many: DataFrame, unique: DataFrame, place: np.ndarray, n: int,
                         continue
                     tried.add(a)
                     need = least_overlap(n, m, percent)
-                    if min(n - p, m - q) >= need and root(a) != root(b) and at_most(counts[a], counts[b]) >= need and linked(all_sets[a], s, percent):
+                    if min(n - p, m - q) >= need and root(a) != root(b) and at_most(spread[a], spread[b]) >= need and linked(all_sets[a], s, percent):
                         parent[root(a)] = root(b)
                         links.append((ids[a], ids[b]))
                 seen[gram].append((b, q))
@@ -321,16 +337,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         unique = rows.join(F.broadcast(spare), "doc_id", "left_anti")
     else:
         unique = rows.join(spare.hint("shuffle_hash"), "doc_id", "left_anti")
-    made = settle(_sizes(unique, n), "jaccard-sizes")
+    bits = min(max((16 * unique.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    made = settle(_sizes(unique, n, bits), "jaccard-sizes")
     size = made.filter("slice IS NULL AND n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
-    place = _cell_order(made.filter("slice IS NOT NULL").select("slice", "cells"))
+    counts = _cell_counts(made.filter("slice IS NOT NULL").select("slice", "cells"), bits)
 
-    prefix = settle(_prefixes(unique, place, n, percent), "jaccard-prefixes")
+    prefix = settle(_prefixes(unique, counts, n, percent), "jaccard-prefixes")
     shared = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     shared = settle(prefix.join(shared, "gram"), "jaccard-shared")
     few = settle(_pairs(shared.filter(F.col("docs") <= FEW), percent), "jaccard-candidates")
     many = shared.filter(F.col("docs") > FEW).select("gram", "doc_id")
-    links = _verified(few, unique, n, percent).unionAll(_block_links(many, unique, place, n, percent))
+    links = _verified(few, unique, n, percent).unionAll(_block_links(many, unique, counts, n, percent))
     roots = components(links)
 
     named = reps.join(size, F.col("rep") == F.col("doc_id"), "left").select("class", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
