@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_batches
+from .common import by_ids, settle, text_batches
 
 #: log2 of the least and most cells; parts in which tasks hand over their counts.
 LEAST_BITS, MOST_BITS, SLICES = 16, 24, 64
@@ -46,8 +46,6 @@ LEAST_BITS, MOST_BITS, SLICES = 16, 24, 64
 FEW = 16
 #: Documents and n-grams that a block may hold, about.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 400_000
-#: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 CACHE = 300_000
 
 _SALT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -109,13 +107,6 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def semi(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids are broadcast only when few."""
-    if ids.count() <= BROADCAST_IDS:
-        return df.join(F.broadcast(ids), "doc_id", how)
-    return df.join(ids, "doc_id", how)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in the edges (u, v); root is the smallest id reachable."""
     edges = settle(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -254,7 +245,7 @@ def _verified(pairs: DataFrame, unique: DataFrame, n: int, percent: int) -> Data
 
     def with_sets(pairs: DataFrame, brief: bool) -> DataFrame:
         ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "jaccard-ids")
-        table = settle(_sets(semi(unique, ids, "left_semi"), n, brief), "jaccard-needed")
+        table = settle(_sets(by_ids(unique, ids, "left_semi"), n, brief), "jaccard-needed")
         u = table.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("grams").alias("gu"))
         v = table.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("grams").alias("gv"))
         return pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "gu", "gv")
@@ -276,7 +267,7 @@ def _block_links(many: DataFrame, unique: DataFrame, counts: np.ndarray, n: int,
     hub = many.groupBy("gram").agg(F.min("doc_id").alias("v"))
     cluster = components(many.select("gram", F.col("doc_id").alias("u")).join(hub, "gram").select("u", "v"))
     cluster = settle(cluster.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")), "jaccard-clusters")
-    sized = settle(_sets(semi(unique, cluster.select("doc_id"), "left_semi"), n).join(cluster, "doc_id"), "jaccard-block-sets")
+    sized = settle(_sets(by_ids(unique, cluster.select("doc_id"), "left_semi"), n).join(cluster, "doc_id"), "jaccard-block-sets")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -332,11 +323,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     of, reps = classes(docs)
     spare = of.join(reps, "class").filter(F.col("doc_id") != F.col("rep")).select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(F.col("doc_id").isNotNull())
-    spare = settle(spare, "jaccard-copies")
-    if spare.count() <= BROADCAST_IDS:
-        unique = rows.join(F.broadcast(spare), "doc_id", "left_anti")
-    else:
-        unique = rows.join(spare.hint("shuffle_hash"), "doc_id", "left_anti")
+    unique = by_ids(rows, settle(spare, "jaccard-copies"), "left_anti")
     bits = min(max((16 * unique.count()).bit_length(), LEAST_BITS), MOST_BITS)
     made = settle(_sizes(unique, n, bits), "jaccard-sizes")
     size = made.filter("slice IS NULL AND n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -360,4 +347,4 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component (the smallest id), all columns kept."""
     found = settle(jaccard_components(docs, n, percent), "jaccard-components")
     gone = settle(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
-    return semi(docs, gone, "left_anti").select(docs.columns)
+    return by_ids(docs, gone, "left_anti").select(docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, settle
+from .common import BLANKS, by_ids, let, settle
 
 #: Rules that are counted per host, with the SQL condition that fails a document.
 RULES = {
@@ -119,3 +119,9 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
     rows = measured.withColumns({"host_key": key, "salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"), "base_failed": F.expr(RULES["base"])})
     return rows.join(verdicts, ["host_key", "salt"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_failed")
+
+
+def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The documents without a doc_id that the rules reject, all columns kept."""
+    rejected = quality_rules(docs, host).filter(~F.col("kept")).select("doc_id").distinct()
+    return by_ids(docs, settle(rejected, "quality-rejected"), "left_anti").select(docs.columns)
