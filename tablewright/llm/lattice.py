@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import settle, text_batches
 
 FOLDS, HELD_OUT = 7, 2
-HEAD = 150_000
+HEAD = 100_000
 ROUNDS = 2
 #: Weight of the vocabulary's own scores against expected counts, in pieces.
 PRIOR = 100.0
 FLUSH = 250_000
+#: Words that are weighed together; characters from which a word is weighed alone.
+TOGETHER, LONG = 40_000, 200
 MARK = "▁"
 
 
@@ -100,10 +102,38 @@ class Lattice:
             alpha[j] = top + np.log(np.exp(into - top).sum(axis=0))
         return alpha
 
+    def into(self, word: str, j: int) -> Iterator[tuple[int, int, float]]:
+        """(from, piece, log weight) of the edges of a long word that end at j."""
+        for i in range(max(0, j - self.longest), j):
+            at = self.ids.get(word[i:j], -1)
+            if at >= 0:
+                yield i, at, self.logp[at]
+            elif i == j - 1:
+                yield i, -1, self.by_bytes(word[i])
+
+    def long_forward(self, word: str) -> list[float]:
+        alpha = [0.0]
+        for j in range(1, len(word) + 1):
+            terms = [alpha[i] + x for i, _, x in self.into(word, j)]
+            top = max(terms)
+            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return alpha
+
+    def long_expected(self, word: str, count: float, total: np.ndarray) -> None:
+        alpha = self.long_forward(word)
+        beta = [-math.inf] * len(word) + [0.0]
+        for j in range(len(word), 0, -1):
+            for i, at, x in self.into(word, j):
+                beta[i] = float(np.logaddexp(beta[i], beta[j] + x))
+                total[at] += count * math.exp(alpha[i] + x + beta[j] - alpha[-1])
+
     def marginals(self, words: list[str]) -> np.ndarray:
         """log P of each word, a mark before it."""
         out = np.zeros(len(words))
         for rows, group, n in _by_length(words):
+            if n > LONG:
+                out[rows] = [self.long_forward(w)[-1] for w in group]
+                continue
             out[rows] = self.forward(self.edges(group, n), len(group), n)[n]
         return out
 
@@ -111,6 +141,10 @@ class Lattice:
         """Expected uses of each piece over the words' counts."""
         total = np.zeros(len(self.logp))
         for rows, group, n in _by_length(words):
+            if n > LONG:
+                for r, w in zip(rows, group, strict=True):
+                    self.long_expected(w, counts[r], total)
+                continue
             edges = self.edges(group, n)
             alpha = self.forward(edges, len(group), n)
             beta = np.full((n + 1, len(group)), -np.inf)
@@ -138,6 +172,18 @@ def _by_length(words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray,
                 yield some, [MARK + words[r] for r in some], int(sizes[some[0]]) + 1
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
@@ -181,7 +227,7 @@ def fit(table: DataFrame, path: str, n_docs: int) -> tuple[np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(path, logp)
             total = np.zeros(len(logp))
-            for batch in batches:
+            for batch in _together(batches):
                 total += lattice.expected([w.decode() for w in batch.column("word").to_pylist()], batch.column("c").to_numpy().astype(float))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -213,7 +259,7 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, sent_logp.value)
-        for batch in batches:
+        for batch in _together(batches):
             marginal = lattice.marginals([w.decode() for w in batch.column("word").to_pylist()]) / ten
             base = np.log10(batch.column("c").to_numpy() + 1.0) - scale
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(marginal)], names=["word", "c", "base", "marginal"])
