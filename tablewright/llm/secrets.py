@@ -140,13 +140,17 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x.as_py() for x in batch.column("text")]
-        new = pa.array([None if x is None else redact(x) for x in texts], pa.string())
-        yield batch.set_column(batch.schema.names.index("text"), "text", new)
+        old = batch.column("text").to_pylist()
+        new = [x and redact(x) for x in old]
+        batch = batch.set_column(batch.schema.names.index("text"), "text", pa.array(new, pa.string()))
+        if "n_chars" in batch.schema.names:
+            at = batch.schema.names.index("n_chars")
+            sizes = [n if x == y else len(y) for n, x, y in zip(batch.column(at).to_pylist(), old, new, strict=True)]
+            batch = batch.set_column(at, "n_chars", pa.array(sizes, batch.schema.field(at).type))
+        yield batch
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with secrets replaced by a mark and ``n_chars`` counted anew where present."""
+    """The documents with secrets replaced by a mark; ``n_chars``, where present, follows changed texts."""
     text_batches(docs.sparkSession)
-    out = docs.mapInArrow(_redacted, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return docs.mapInArrow(_redacted, docs.schema)
