@@ -209,6 +209,10 @@ class Table:
         self.definition.column(name)
         return Table(self.df, replace(self.definition, indexes={**self.definition.indexes, name: "ordered" if ordered else "hash"}))
 
+    def checkpoint(self) -> Table:
+        """The same table read from the session's checkpoint folder, for after many changes."""
+        return Table(self.df.checkpoint(), self.definition)
+
     def show(self, n: int = 20) -> None:
         print(self.name)
         self.df.show(n, truncate=False)

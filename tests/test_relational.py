@@ -272,3 +272,9 @@ def test_filters_reach_the_scan(spark, tmp_path):
     t = Table.of("t", spark.read.parquet(f"{tmp_path}/t"))
     plan = t.aggregate_group("id", [("id", "count")], col("id") >= 50)._jdf.queryExecution().toString()
     assert "PushedFilters: [Or(GreaterThanOrEqual(id,50),IsNull(id))]" in plan and "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_checkpoint_cuts_the_plan(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    t = people(spark, (1, "Alice")).update_where(col("id") == 1, {"name": "Bella"}).checkpoint()
+    assert rows(t.df) == [(1, "Bella")] and "ExistingRDD" in t.df._jdf.queryExecution().toString()
