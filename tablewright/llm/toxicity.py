@@ -35,7 +35,7 @@ FOLDS = 5
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 24_000, 20_000
 #: A word becomes a feature if this many positives hold it (and this share of them), and if a document
 #: that holds it is likelier toxic than this, by the prior and the shares of positives and unlabelled that hold it.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIKELY = 3, 0.03, 0.6
+LEAST_DOCS, LEAST_SHARE, LEAST_LIKELY = 5, 0.03, 0.6
 STEPS, RATE, PENALTY = 200, 0.1, 3e-5
 
 #: A to Z in lower case; ASCII marks and white space end a word.
