@@ -194,8 +194,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"], overwrite
         self.suffix = ".warc.gz" if options.get("compression") == "gzip" else ".warc"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -213,9 +213,12 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, path = pafs.FileSystem.from_uri(self.path)
+        old = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith((".warc", ".warc.gz"))]
         for m in messages:
             if m is not None and m.name:
                 fs.move(f"{path}/_{m.name}.part", f"{path}/{m.name}")
+        for f in old if self.overwrite else []:
+            fs.delete_file(f)
         self._clear(fs, path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -240,7 +243,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -232,6 +232,8 @@ def test_archive_source(spark, compression):
     assert {r.record_id: bytes(r.payload).decode() for r in df.collect()} == {f"urn:page:{r.page_id}": r.html for r in pages.collect()}
     some = spark.read.format("warc").option("payload", "false").load(path).filter((F.col("target_uri") == "http://h1/") & F.col("record_type").isin("response", "revisit") & F.col("record_id").startswith("urn:page:1"))
     assert sorted(r.record_id for r in some.collect()) == [f"urn:page:{i}" for i in (1, 10, 13, 16, 19)] and all(r.payload is None for r in some.collect())
+    warc.page_records(pages.limit(2)).coalesce(1).write.format("warc").option("compression", compression).mode("overwrite").save(path)
+    assert spark.read.format("warc").load(path).count() == 2 and len(os.listdir(path.removeprefix("file://"))) == 1
     reader = warc.WarcReader({"path": path})
     assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"")])) == [warc.EqualTo(("payload",), b"")]
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 0
