@@ -16,7 +16,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of whole texts that one Arrow batch may hold; keeps Python workers' memory flat.
 TEXT_ROWS = 512
 #: Ids that may be broadcast.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,10 +54,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id. Counted first: few ids are broadcast, more meet the rows in a shuffle."""
+def by_ids(df: DataFrame, ids: DataFrame, how: str, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Semi or anti join on ids. Counted first: few ids are broadcast, more meet the rows in a shuffle."""
     few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", how)
+    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), list(on), how)
 
 
 _shipped: set[str] = set()

@@ -23,7 +23,8 @@ Two documents link when ``100 * |A and B| >= percent * |A or B|``.
 Defined cases: null, empty or blank texts have no set and link with nothing;
 a text of fewer words than n is one n-gram; equal rows share a component; a null
 doc_id gets the component of its class's other rows, or null; rows that share a
-doc_id are one node; an empty table gives an empty result; other columns are
+doc_id but not the text each follow their text; an empty table gives an empty
+result; other columns are
 ignored.
 """
 
@@ -131,11 +132,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sizes(unique: DataFrame, n: int, bits: int) -> DataFrame:
-    """A row per document (doc_id, n), and rows (slice, cells) with a task's counts of cells, up to 255."""
+    """A row per document (class, n), and rows (slice, cells) with a task's counts of cells, up to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "cells", "slice"]
+        names = ["class", "n", "cells", "slice"]
         waiting: list[np.ndarray] = []
         held = 0
 
@@ -152,13 +153,13 @@ def _sizes(unique: DataFrame, n: int, bits: int) -> DataFrame:
             if held >= 1 << 21:
                 count()
                 held = 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(x) for x in found], pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32())], names=names)
         count()
         each = len(cells) // SLICES
         data = [np.minimum(cells[k * each : (k + 1) * each], 255).astype(np.uint8).tobytes() for k in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(data, pa.binary()), pa.array(range(SLICES), pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.string()), pa.nulls(SLICES, pa.int32()), pa.array(data, pa.binary()), pa.array(range(SLICES), pa.int32())], names=names)
 
-    return unique.mapInArrow(run, "doc_id long, n int, cells binary, slice int")
+    return unique.mapInArrow(run, "class string, n int, cells binary, slice int")
 
 
 def _sets(unique: DataFrame, n: int, brief: bool = False) -> DataFrame:
@@ -311,22 +312,18 @@ def _block_links(many: DataFrame, unique: DataFrame, counts: np.ndarray, n: int,
     return dealt.groupBy("cluster", "i", "j").applyInArrow(join, "u long, v long")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of every row, class being the digest of its text; (class, rep)."""
-    of = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("class")), "jaccard-classes")
-    return of, of.groupBy("class").agg(F.min("doc_id").alias("rep"))
-
-
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     text_batches(docs.sparkSession)
-    of, reps = classes(docs)
-    spare = of.join(reps, "class").filter(F.col("doc_id") != F.col("rep")).select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(F.col("doc_id").isNotNull())
-    unique = by_ids(rows, settle(spare, "jaccard-copies"), "left_anti")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), digest.alias("class"))
+    of = settle(rows.select("doc_id", "class"), "jaccard-classes")
+    reps = of.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    spare = of.join(reps, "class").filter(F.col("doc_id") != F.col("rep")).select("doc_id", "class").distinct()
+    unique = by_ids(rows.filter(F.col("doc_id").isNotNull()), settle(spare, "jaccard-copies"), "left_anti", ("doc_id", "class"))
     bits = min(max((16 * unique.count()).bit_length(), LEAST_BITS), MOST_BITS)
     made = settle(_sizes(unique, n, bits), "jaccard-sizes")
-    size = made.filter("slice IS NULL AND n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
+    size = made.filter("slice IS NULL").groupBy("class").agg(F.max("n").alias("n"))
     counts = _cell_counts(made.filter("slice IS NOT NULL").select("slice", "cells"), bits)
 
     prefix = settle(_prefixes(unique, counts, n, percent), "jaccard-prefixes")
@@ -337,7 +334,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = _verified(few, unique, n, percent).unionAll(_block_links(many, unique, counts, n, percent))
     roots = components(links)
 
-    named = reps.join(size, F.col("rep") == F.col("doc_id"), "left").select("class", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
+    named = reps.join(size, "class", "left").select("class", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
     named = named.join(roots, F.col("rep") == F.col("id"), "left").select("class", "n_shingles", F.coalesce("root", "rep").alias("root"))
     named = of.join(named, "class")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))

@@ -170,6 +170,8 @@ def test_components_edge_cases(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
     assert got == [("2", 2, 2), ("7", 2, 2), ("7", 2, 2), ("9", 0, 9), ("None", 0, None), ("None", 2, 2)]
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+    twice = spark.createDataFrame([(3, "x y z w"), (5, "x y z w"), (5, "k l m n o"), (8, "K l m n o")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(twice).collect()) == [(3, 2, 3), (5, 2, 3), (5, 3, 5), (8, 3, 5)]
 
 
 def test_bounds_hold():
