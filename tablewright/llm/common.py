@@ -54,10 +54,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, which are counted, are few; else marked to be hashed after a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df.hint("shuffle_hash")
+
+
 def by_ids(df: DataFrame, ids: DataFrame, how: str, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Semi or anti join on ids. Counted first: few ids are broadcast, more meet the rows in a shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), list(on), how)
+    """Semi or anti join on ids, which are broadcast only when few."""
+    return df.join(small(ids), list(on), how)
 
 
 _shipped: set[str] = set()

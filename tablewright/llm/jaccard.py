@@ -24,8 +24,7 @@ Defined cases: null, empty or blank texts have no set and link with nothing;
 a text of fewer words than n is one n-gram; equal rows share a component; a null
 doc_id gets the component of its class's other rows, or null; rows that share a
 doc_id but not the text each follow their text; an empty table gives an empty
-result; other columns are
-ignored.
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, settle, text_batches
+from .common import by_ids, settle, small, text_batches
 
 #: log2 of the least and most cells; parts in which tasks hand over their counts.
 LEAST_BITS, MOST_BITS, SLICES = 16, 24, 64
@@ -123,8 +122,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = settle(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
-        edges = settle(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).filter("u != v").distinct(), "edges")
+        stars = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
+        edges = settle(stars.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).filter("u != v").distinct(), "edges")
         before, now = now, state(edges)
         if before == now:
             break
@@ -265,8 +264,8 @@ def _block_links(many: DataFrame, unique: DataFrame, counts: np.ndarray, n: int,
     """Forest links among documents that share an n-gram of many documents."""
     spark = many.sparkSession
     sent = spark.sparkContext.broadcast(counts)
-    hub = many.groupBy("gram").agg(F.min("doc_id").alias("v"))
-    cluster = components(many.select("gram", F.col("doc_id").alias("u")).join(hub, "gram").select("u", "v"))
+    hub = settle(many.groupBy("gram").agg(F.min("doc_id").alias("v")), "jaccard-hubs")
+    cluster = components(many.select("gram", F.col("doc_id").alias("u")).join(small(hub), "gram").select("u", "v"))
     cluster = settle(cluster.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")), "jaccard-clusters")
     sized = settle(_sets(by_ids(unique, cluster.select("doc_id"), "left_semi"), n).join(cluster, "doc_id"), "jaccard-block-sets")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks"))
