@@ -46,7 +46,7 @@ LEAST_BITS, MOST_BITS, SLICES = 16, 24, 64
 FEW = 16
 #: Documents and n-grams that a block may hold, about.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 400_000
-CACHE = 300_000
+CACHE = 120_000
 
 _SALT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -149,7 +149,7 @@ def _sizes(unique: DataFrame, n: int, bits: int) -> DataFrame:
             found = [grams(t.as_py(), n) for t in batch.column("text")]
             waiting += found
             held += sum(map(len, found))
-            if held >= 1 << 21:
+            if held >= 1 << 20:
                 count()
                 held = 0
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(x) for x in found], pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32())], names=names)

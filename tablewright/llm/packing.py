@@ -41,7 +41,7 @@ CLOSING_ID = 0
 BUCKETS = 256
 NODES, FILLINGS, LEAVES = 4_000, 6, 60
 #: Entries that each cache may hold.
-CACHE = 300_000
+CACHE = 200_000
 #: Fixed value: the vocabulary's word pattern, on lower-cased text.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Printable ASCII and Latin letters, which normalization leaves as they are but for their case.
