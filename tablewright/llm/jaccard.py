@@ -317,7 +317,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), digest.alias("class"))
     of = settle(rows.select("doc_id", "class"), "jaccard-classes")
-    reps = of.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = settle(of.groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-reps")  # a plain join side, so that a hot class can be split
     spare = of.join(reps, "class").filter(F.col("doc_id") != F.col("rep")).select("doc_id", "class").distinct()
     unique = by_ids(rows.filter(F.col("doc_id").isNotNull()), settle(spare, "jaccard-copies"), "left_anti", ("doc_id", "class"))
     bits = min(max((16 * unique.count()).bit_length(), LEAST_BITS), MOST_BITS)
@@ -335,7 +335,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     named = reps.join(size, "class", "left").select("class", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
     named = named.join(roots, F.col("rep") == F.col("id"), "left").select("class", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    named = of.join(named, "class")
+    named = of.join(settle(named, "jaccard-named"), "class")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
 
 
