@@ -33,9 +33,10 @@ from .common import settle, text_batches
 
 FOLDS = 5
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 24_000, 20_000
-#: A word becomes a feature if this many positives hold it (and this share of them), and if a document
-#: that holds it is likelier toxic than this, by the prior and the shares of positives and unlabelled that hold it.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIKELY = 5, 0.03, 0.6
+#: A word becomes a feature if this many positives hold it, however small their share (languages with few
+#: documents have words of their own), and if a document that holds it is likelier toxic than this, by the
+#: prior and the shares of positives and unlabelled that hold it.
+LEAST_DOCS, LEAST_LIKELY = 5, 0.6
 STEPS, RATE, PENALTY = 200, 0.1, 3e-5
 
 #: A to Z in lower case; ASCII marks and white space end a word.
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
     sizes = sample.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
     counts = sample.mapInArrow(_words_of, "positive boolean, word binary").groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
     lift = (F.col("p") / F.lit(max(sizes["p"], 1))) / ((F.col("u") + 3) / F.lit(max(sizes["u"], 1)))
-    top = counts.filter((F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * sizes["p"])) & (lift * prior >= LEAST_LIKELY)).orderBy(F.desc("p"), "word").limit(MAX_WORDS).collect()
+    top = counts.filter((F.col("p") >= LEAST_DOCS) & (lift * prior >= LEAST_LIKELY)).orderBy(F.desc("p"), "word").limit(MAX_WORDS).collect()
     at = {bytes(r["word"]): i for i, r in enumerate(top)}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,25 @@ def test_toxic_words_are_learned(spark):
     assert toxicity.score_toxicity(docs.limit(0), table).count() == 0
 
 
+def test_rare_toxic_words_are_learned(spark):
+    rng = np.random.default_rng(5)
+    rows, labels, rare = [], [], set()
+    for i in range(3000):
+        words = [f"w{k}" for k in rng.integers(0, 300, 40)]
+        if i % 6 == 0:
+            words[5] = "vile"
+        if i % 300 == 0:  # 2 % of the positives, in words of their own
+            words = [f"p{k}" for k in rng.integers(0, 300, 39)] + ["rareza"]
+            rare.add(i)
+        elif i % 60 == 1:
+            words = [f"p{k}" for k in rng.integers(0, 300, 40)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(got[i] for i in rare) and got == {i: int(i % 6 == 0) for i in range(3000)}
+
+
 def test_risk_estimate_turns_when_negative():
     weight, bias = toxicity.train([np.array([0], np.int32)] * 5, [np.array([0], np.int32)] * 5 + [np.array([1], np.int32)] * 45, 2, 0.1)
     assert weight[0] > weight[1] and np.isfinite(weight).all() and math.isfinite(bias)
