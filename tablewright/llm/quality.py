@@ -111,17 +111,27 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return hosts
 
 
-def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The measures, ``base_failed``, ``host_failed`` and ``kept`` of every document."""
+def _judged(docs: DataFrame, host: str) -> DataFrame:
+    """The measures, ``base_failed`` and ``host_failed`` of every document."""
     measured = settle(measure(docs, host), "quality")
     failed = F.greatest(*(F.col(f"{r}_rate") for r in RULES)) >= HOST_LIMIT
     verdicts = host_rates(measured).select(F.col("host_key"), failed.alias("host_failed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
     rows = measured.withColumns({"host_key": key, "salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"), "base_failed": F.expr(RULES["base"])})
-    return rows.join(verdicts, ["host_key", "salt"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_failed")
+    return rows.join(verdicts, ["host_key", "salt"])
+
+
+def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The measures, ``base_failed``, ``host_failed`` and ``kept`` of every document."""
+    return _judged(docs, host).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_failed")
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents without a doc_id that the rules reject, all columns kept."""
-    rejected = quality_rules(docs, host).filter(~F.col("kept")).select("doc_id").distinct()
+    """The documents that fail no rule themselves and whose host doesn't fail, all columns kept.
+
+    ``kept`` of the query leaves symbols and lines to hosts; here a document's own
+    failure of them counts as well, so that junk spread over good hosts goes.
+    """
+    own = F.expr(" OR ".join(f"({c})" for c in RULES.values()))
+    rejected = _judged(docs, host).filter(own | F.col("host_failed")).select("doc_id").distinct()
     return by_ids(docs, settle(rejected, "quality-rejected"), "left_anti").select(docs.columns)

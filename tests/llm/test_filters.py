@@ -61,6 +61,14 @@ def test_bad_hosts_lose_their_documents(spark):
     assert kept.columns == docs.columns and kept.count() == 80
 
 
+def test_junk_of_good_hosts_goes(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{good}\n{i}", f"h{i % 5}") for i in range(100)] + [(100 + i, f"{good} {'#$%' * 20} {i}", f"h{i}") for i in range(5)] + [(200 + i, "\n".join([good, *"aaaaa"]), f"h{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r.kept for r in quality.quality_rules(docs).collect())
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(100))
+
+
 def test_toxic_words_are_learned(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
