@@ -2,7 +2,7 @@
 
 Two documents link when ``100 * |A and B| >= percent * |A or B|``.
 
-1. Equal texts are one class; its smallest id stands for it.
+1. Equal texts are one class; a number made from its digest stands for it.
 2. One pass turns every such text into its sorted 64-bit n-gram hashes and counts
    all n-grams in a table of cells (about 32 n-grams to a cell, 16 million cells
    at most). The order of n-grams by their cell's count, rarest first, is global;
@@ -18,7 +18,7 @@ Two documents link when ``100 * |A and B| >= percent * |A or B|``.
    with the same filters and a union-find forest, so that a pair already
    connected isn't verified and only forest links come out.
 6. Components of the links by alternating large-star and small-star steps,
-   settled to shared files each round.
+   settled to shared files each round; each is named by its smallest id.
 
 Defined cases: null, empty or blank texts have no set and link with nothing;
 a text of fewer words than n is one n-gram; equal rows share a component; a null
@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, settle, small, text_batches
@@ -311,15 +311,36 @@ def _block_links(many: DataFrame, unique: DataFrame, counts: np.ndarray, n: int,
     return dealt.groupBy("cluster", "i", "j").applyInArrow(join, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _row(doc_id: Column, text_class: Column) -> Column:
+    """What tells rows apart: the id and the text's class; never null."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), text_class)
+
+
+def _class(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _found(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, class, node, n_shingles and component_id of every row; node tells components apart where ids repeat or are null.
+
+    Sets, links and components go by a number of the text's class: 64 bits of its
+    digest, dealt again should two classes get the same.
+    """
     text_batches(docs.sparkSession)
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), digest.alias("class"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _class(F.col("text")).alias("class"))
     of = settle(rows.select("doc_id", "class"), "jaccard-classes")
     reps = settle(of.groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-reps")  # a plain join side, so that a hot class can be split
+    deal = 0
+    while (c := reps.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64(F.lit(deal), "class")).alias("keys")).first())["n"] != c["keys"]:
+        deal += 1
+    node = F.xxhash64(F.lit(deal), "class")
     spare = of.join(reps, "class").filter(F.col("doc_id") != F.col("rep")).select("doc_id", "class").distinct()
     unique = by_ids(rows.filter(F.col("doc_id").isNotNull()), settle(spare, "jaccard-copies"), "left_anti", ("doc_id", "class"))
+    nameless = settle(reps.filter("rep IS NULL").select("class"), "jaccard-nameless")
+    if not nameless.isEmpty():
+        one = by_ids(rows.filter(F.col("doc_id").isNull()), nameless, "left_semi", ("class",)).dropDuplicates(["class"])
+        unique = unique.unionByName(settle(one, "jaccard-nameless"))
+    unique = unique.select(node.alias("doc_id"), "text", "class")
     bits = min(max((16 * unique.count()).bit_length(), LEAST_BITS), MOST_BITS)
     made = settle(_sizes(unique, n, bits), "jaccard-sizes")
     size = made.filter("slice IS NULL").groupBy("class").agg(F.max("n").alias("n"))
@@ -333,14 +354,36 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = _verified(few, unique, n, percent).unionAll(_block_links(many, unique, counts, n, percent))
     roots = components(links)
 
-    named = reps.join(size, "class", "left").select("class", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
-    named = named.join(roots, F.col("rep") == F.col("id"), "left").select("class", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    named = reps.join(size, "class", "left").select("class", "rep", node.alias("key"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"))
+    named = settle(named.join(roots, F.col("key") == F.col("id"), "left").select("class", "rep", "key", "n_shingles", "root"), "jaccard-roots")
+    least = settle(named.filter("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least")), "jaccard-least")
+    named = named.join(small(least), "root", "left").select("class", "n_shingles", F.coalesce("root", "key").alias("node"), F.coalesce("least", "rep").alias("least"))
     named = of.join(settle(named, "jaccard-named"), "class")
-    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    return named.select("doc_id", "class", "node", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _found(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the smallest id), all columns kept."""
-    found = settle(jaccard_components(docs, n, percent), "jaccard-components")
-    gone = settle(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
-    return by_ids(docs, gone, "left_anti").select(docs.columns)
+    """One row of each component (of the smallest id, or of a null one if there is no other), all columns kept.
+
+    Rows are told apart by id and text. Texts without words are components of their
+    own by id and text; of equal rows any one stays.
+    """
+    row = _row(F.col("doc_id"), F.col("class"))
+    unit = F.when(F.col("n_shingles") == 0, row).otherwise(F.col("node").cast("string"))
+    found = _found(docs, n, percent).select(row.alias("row_key"), unit.alias("unit"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("head"))
+    found = settle(found, "jaccard-components")
+    heads = found.filter("head").groupBy("unit", "row_key").agg(F.count(F.lit(1)).alias("copies"))
+    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("unit").orderBy("row_key")))  # few to a unit: all have its smallest id
+    heads = settle(heads.filter("place > 1 OR copies > 1"), "jaccard-heads")
+    gone = settle(found.filter("NOT head").select("row_key").unionAll(heads.select("row_key")).distinct(), "jaccard-gone")
+    keyed = docs.select(_row(F.col("doc_id").cast("long"), _class(F.col("text"))).alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = by_ids(keyed, gone, "left_anti", ("row_key",))
+    again = heads.filter("place = 1").select("row_key")
+    if not again.isEmpty():
+        left = left.unionAll(by_ids(keyed, again, "left_semi", ("row_key",)).dropDuplicates(["row_key"]))
+    return left.select("row.*")

@@ -174,6 +174,26 @@ def test_components_edge_cases(spark):
     assert sorted(tuple(r) for r in jaccard.jaccard_components(twice).collect()) == [(3, 2, 3), (5, 2, 3), (5, 3, 5), (8, 3, 5)]
 
 
+def test_one_row_of_each_component_stays(spark):
+    def kept(rows):
+        return sorted((tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int")).select("doc_id", "text").collect()), key=repr)
+
+    assert kept([(3, "x y z w", 0), (5, "x y z w", 0), (5, "k l m n o", 0), (8, "K l m n o", 0)]) == [(3, "x y z w"), (5, "k l m n o")]
+    rows = [(5, "A b c d e", 0), (5, "k l m n o", 0), (7, "a b c d e", 0), (8, "K l m n o", 0), (2, "p q r", 0), (2, "p q r", 1), (4, "P q r", 0), (None, "p q r", 0)]
+    rows += [(None, "u v w", 0), (None, "u v w", 1), (None, "U v w", 0), (None, "s t", 0), (9, "f g", 0), (9, "F g", 0), (1, "", 0), (1, " ", 0), (1, None, 0)]
+    got = kept(rows)
+    assert [(i, (t or "").lower()) for i, t in got] in ([(1, x), (1, y), *z] for x, y in [(" ", ""), ("", " ")] for z in [[(2, "p q r"), (5, "a b c d e"), (5, "k l m n o"), (9, "f g"), (None, "s t"), (None, "u v w")]])
+
+
+def test_texts_of_null_ids_have_sets(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[k : k + 50]) for k in (0, 2, 4))  # a and c are linked by b alone
+    docs = spark.createDataFrame([(5, a), (None, b), (None, b), (3, c), (None, "x y z w")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(docs).collect()), key=repr)
+    assert got == [(3, 48, 3), (5, 48, 3), (None, 2, None), (None, 48, 3), (None, 48, 3)]
+    assert [r.doc_id for r in jaccard.jaccard_components(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").collect()] != [3]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(200):
