@@ -55,11 +55,17 @@ def _repeated(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact)
 
 
+def _row_key(doc_id: str, host: str, text: str) -> Column:
+    """What tells rows apart that may get different verdicts; never null."""
+    parts = [F.md5(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).cast("binary")) for c in (doc_id, host)]
+    return F.md5(F.concat(*parts, F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+
+
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host and the measures of every whole text; rows stay where they are."""
+    """doc_id, host, a row's key and the measures of every whole text; rows stay where they are."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.col("doc_id"), F.col(host).alias("host"), text.alias("text"))
-    df = df.select("doc_id", "host", "text", F.btrim(F.col("text"), F.lit(BLANKS)).alias("t"))
+    df = docs.select(F.col("doc_id"), F.col(host).alias("host"), _row_key("doc_id", host, "text").alias("row_key"), text.alias("text"))
+    df = df.select("doc_id", "host", "row_key", "text", F.btrim(F.col("text"), F.lit(BLANKS)).alias("t"))
     words = F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", "[\\x20\\x09-\\x0D]+", -1))
     n_words = F.size("words")
 
@@ -78,13 +84,14 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
         .select(
             "doc_id",
             "host",
+            "row_key",
             n_words.cast("long").alias("n_words"),
             F.length(plain).cast("long").alias("word_chars"),
             F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, line_counts).alias("lines"),
             F.when(n_words < 9, F.lit(0)).otherwise(let(h8, _repeated)).cast("long").alias("n_repeat_words"),
         )
-        .select("doc_id", "host", "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").cast("long").alias("n_lines"))
+        .select("doc_id", "host", "row_key", "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").cast("long").alias("n_lines"))
     )
 
 
@@ -131,7 +138,9 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
 
     ``kept`` of the query leaves symbols and lines to hosts; here a document's own
     failure of them counts as well, so that junk spread over good hosts goes.
+    Verdicts go by row, so that null and repeated ids neither save nor cost a document.
     """
     own = F.expr(" OR ".join(f"({c})" for c in RULES.values()))
-    rejected = _judged(docs, host).filter(own | F.col("host_failed")).select("doc_id").distinct()
-    return by_ids(docs, settle(rejected, "quality-rejected"), "left_anti").select(docs.columns)
+    rejected = _judged(docs, host).filter(own | F.col("host_failed")).select("row_key").distinct()
+    keyed = docs.select(_row_key("doc_id", host, "text").alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return by_ids(keyed, settle(rejected, "quality-rejected"), "left_anti", ("row_key",)).select("row.*")

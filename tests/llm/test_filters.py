@@ -69,6 +69,13 @@ def test_junk_of_good_hosts_goes(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(100))
 
 
+def test_verdicts_go_by_row(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, good, "a"), (1, "short", "a"), (None, good, "a"), (None, "short", "a"), (None, None, None)] + [(10 + i, good, None if i % 2 else "a") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(quality.keep_good(docs).collect(), key=repr) == sorted(docs.filter(F.col("text") == good).collect(), key=repr)
+
+
 def test_toxic_words_are_learned(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
