@@ -109,9 +109,9 @@ def test_plans_by_brute_force(seed):
     plan = packing.make_plan(counts, 100)
     used = Counter()
     for filling, n in plan:
-        assert sum(filling) <= 100
-        for x in filling:
-            used[x] += n
+        assert packing.load(filling) <= 100
+        for x, k in filling:
+            used[x] += n * k
     assert used == Counter(items) and sum(n for _, n in plan) == least(items, 100)
 
 
@@ -121,6 +121,51 @@ def test_search_beats_the_incumbent():
     assert sum(n for _, n in packing.make_plan(counts, 61)) == packing.least_bins(counts, 61) == 3
 
 
+@pytest.mark.parametrize("counts", [{1: 5000}, {2: 1500}, {1: 3000, 500: 10}, {1: 1200, 2048: 40, 1025: 7}, {3: 10**9, 7: 10**8}, {}])
+def test_many_short_pieces(counts):
+    plan, gap = packing.search(counts)
+    used = Counter()
+    for filling, n in plan:
+        assert packing.load(filling) <= packing.CAPACITY
+        for x, k in filling:
+            used[x] += n * k
+    assert used == Counter(counts) and 0 <= gap <= max(sum(n for _, n in plan) // 1000, 1)
+
+
+def test_long_searches_end():
+    rnd = random.Random(9)
+    for counts in ({x: rnd.randint(1, 9) for x in rnd.sample(range(300, 1000), 60)}, {683: 9000, 684: 9001, 682: 5, 3: 2}, {700: 999, 650: 1000, 2: 9}):
+        plan, gap = packing.search(counts, nodes=300)
+        assert gap >= 0 and sum(n * k for f, n in plan for _, k in f) == sum(counts.values())
+
+
+def fillings_by_brute_force(counts, room):
+    """The total of the fullest filling."""
+    best = {0}
+    for x, n in counts.items():
+        best = {b + k * x for b in best for k in range(n + 1) if b + k * x <= room}
+    return max(best)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fillings_are_maximal_and_undominated(seed):
+    rnd = random.Random(seed)
+    counts = {x: rnd.randint(1, 4) for x in rnd.sample(range(5, 60), 7)}
+    found = packing.fillings(dict(counts), sorted(counts), 100, keep=10**6, leaves=10**6)
+    assert packing.load(found[0]) == fillings_by_brute_force(counts, 100)
+    for f in found:
+        assert all(k <= counts[x] for x, k in f) and packing.load(f) <= 100
+        assert not any(counts[x] - dict(f).get(x, 0) > 0 and x <= 100 - packing.load(f) for x in counts)
+        assert not any(packing._dominates(g, f) for g in found if g != f)
+
+
+def test_thousands_of_empty_texts_are_packed(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).alias("text"), F.lit(7).alias("mark"), F.lit("x").alias("bucket"))
+    rows = packing.pack(docs, WORD).collect()
+    assert len(rows) == 3000 and {r.length for r in rows} == {1}
+    assert len({r.sequence_id for r in rows}) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
+
+
 def brute_components(texts, n, percent):
     def grams(text):
         w = (text or "").encode().lower().split()
