@@ -64,6 +64,25 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str, on: tuple[str, ...] = ("doc_
     return df.join(small(ids), list(on), how)
 
 
+#: Keys that hold more than one in so many rows, and at least so many rows, are hot.
+HOT_SHARE, HOT_ROWS = 10_000, 200
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, n: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``n`` rows with a table of one row a key.
+
+    ``count`` names the table's column with the number of rows that have the key,
+    or with a bound of it. Hot keys, of which there can be at most ``HOT_SHARE``,
+    are sent to all tasks, so their rows stay where they are; all other rows meet
+    their keys by a shuffle, in which no key is hot.
+    """
+    least = max(n // HOT_SHARE, HOT_ROWS)
+    hot = F.broadcast(table.filter(F.col(count) > least))
+    cold = table.filter(F.col(count) <= least)
+    rest = rows.join(F.broadcast(table.filter(F.col(count) > least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+
+
 _shipped: set[str] = set()
 
 

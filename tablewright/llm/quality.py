@@ -1,14 +1,19 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Each document is measured in place (no shuffle of texts or words). Failures of
-each rule are counted per host, the host's rate is shrunk towards an empirical
-beta prior fitted over all hosts, and a host whose shrunk rate reaches the limit
-fails as a whole. Verdicts join back to documents on (host, salt).
-
-Defined cases: a null text has no words; a null host is a host of its own; an
-empty table gives an empty result; equal rows are kept as they are; columns
-other than ``doc_id``, ``text`` and the host column are ignored, whatever their
-names.
+each rule are counted per host and the host's rate is shrunk towards an empirical
+beta prior, which is fitted over all hosts by beta-binomial moments: what hosts'
+rates spread by sampling alone is taken out, so that a host of few documents
+keeps close to the pooled rate. A host whose shrunk rate of any rule reaches the
+limit fails. Verdicts join back to documents: documents of failed hosts are held
+to strict limits, all others to the usual ones. So junk that is spread over good
+hosts goes, and clean documents of bad hosts stay.
+
+Defined cases: a null text has no words; a null host is a host of its own; null
+and repeated ids change nothing, since verdicts go by row; equal rows get equal
+verdicts; a text of any length is measured whole; an empty table gives an empty
+result; columns other than ``doc_id``, ``text`` and the host column are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, by_ids, let, settle
+from .common import BLANKS, by_ids, join_skewed, let, settle
 
 #: Rules that are counted per host, with the SQL condition that fails a document.
 RULES = {
@@ -24,10 +29,20 @@ RULES = {
     "symbols": "10 * n_symbols > word_chars",
     "lines": "2 * n_dup_lines > n_lines",
 }
+#: The same rules for documents of failed hosts.
+STRICT = {
+    "base": "n_words < 40 OR 100 * n_repeat_words > 15 * n_words",
+    "symbols": "20 * n_symbols > word_chars",
+    "lines": "4 * n_dup_lines > n_lines",
+}
 #: A host fails when a rule's shrunk failure rate reaches this.
 HOST_LIMIT = 0.5
-#: Salts per host in the join back, so that one host's documents meet in many tasks.
-SALTS = 64
+#: The prior's strength in documents, at least and at most.
+WEAKEST, STRONGEST = 1.0, 1e6
+
+
+def _any(rules: dict[str, str]) -> Column:
+    return F.expr(" OR ".join(f"({c})" for c in rules.values()))
 
 
 def _pairs(h: Column, n: Column, shift: int) -> Column:
@@ -95,52 +110,67 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
+def prior_strength(n: float, squares: float, hosts: int, mean: float, spread: float) -> float:
+    """Documents that the prior counts for, by beta-binomial moments.
+
+    n: all documents; squares: the sum of hosts' squared sizes; mean: the pooled
+    rate; spread: sum over hosts of size * (rate - mean)^2. With correlation r
+    between a host's documents, spread is expected to be mean * (1 - mean) *
+    (hosts - 1 + r * (n - squares / n - hosts + 1)); the strength is 1 / r - 1.
+    """
+    room = n - squares / n - hosts + 1 if n else 0.0
+    even = mean * (1 - mean)
+    r = (spread / even - hosts + 1) / room if room > 1e-9 and even > 0 else 0.0
+    return min(max(1 / r - 1, WEAKEST), STRONGEST) if r > 1e-9 else STRONGEST
+
+
 def host_rates(measured: DataFrame) -> DataFrame:
     """A row per host: n, and for each rule its failures and its rate shrunk by the prior.
 
-    The prior is a beta distribution by the method of moments: its mean is the
-    pooled rate, its strength comes from how much hosts' rates spread around it
-    (between 1 and a million pseudo-documents). Failures are summed before the
-    shuffle, so a host of any size costs one row per task.
+    Failures are summed before the shuffle, so a host of any size costs one row
+    per task. One row of sums over all hosts reaches the driver.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
-    hosts = measured.groupBy(key.alias("host_key")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(c)).alias(f"{r}_failed") for r, c in RULES.items()))
-    moments = []
+    failures = [F.count_if(F.expr(c)).alias(f"{r}_failed") for r, c in RULES.items()]
+    hosts = measured.groupBy("host_key").agg(F.count(F.lit(1)).alias("n"), *failures)
+    size = F.col("n").cast("double")
+    sums = [F.count(F.lit(1)).alias("hosts"), F.sum(size).alias("n"), F.sum(size * size).alias("squares")]
     for r in RULES:
-        moments += [F.sum(f"{r}_failed").alias(f"{r}_f"), F.sum(F.col(f"{r}_failed") / F.col("n") * F.col(f"{r}_failed")).alias(f"{r}_q")]
-    total = hosts.agg(F.sum("n").alias("n"), *moments).first()
-    n = total["n"] or 1
+        failed = F.col(f"{r}_failed").cast("double")
+        sums += [F.sum(failed).alias(f"{r}_k"), F.sum(failed * failed / size).alias(f"{r}_q")]
+    all_hosts = hosts.agg(*sums).first()
+    n = all_hosts["n"] or 0.0
     for r in RULES:
-        mean = (total[f"{r}_f"] or 0) / n
-        spread = (total[f"{r}_q"] or 0.0) / n - mean * mean
-        strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-12 else 1e6
-        hosts = hosts.withColumn(f"{r}_rate", (F.col(f"{r}_failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
+        mean = (all_hosts[f"{r}_k"] or 0.0) / n if n else 0.0
+        spread = (all_hosts[f"{r}_q"] or 0.0) - n * mean * mean
+        strength = prior_strength(n, all_hosts["squares"] or 0.0, all_hosts["hosts"], mean, spread)
+        rate = (F.col(f"{r}_failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+        hosts = hosts.withColumn(f"{r}_rate", rate)
     return hosts
 
 
 def _judged(docs: DataFrame, host: str) -> DataFrame:
-    """The measures, ``base_failed`` and ``host_failed`` of every document."""
-    measured = settle(measure(docs, host), "quality")
+    """The measures, ``base_failed``, ``host_failed`` and ``kept`` of every document."""
+    host_key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
+    measured = settle(measure(docs, host).withColumn("host_key", host_key), "quality")
     failed = F.greatest(*(F.col(f"{r}_rate") for r in RULES)) >= HOST_LIMIT
-    verdicts = host_rates(measured).select(F.col("host_key"), failed.alias("host_failed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
-    rows = measured.withColumns({"host_key": key, "salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"), "base_failed": F.expr(RULES["base"])})
-    return rows.join(verdicts, ["host_key", "salt"])
+    verdicts = settle(host_rates(measured).select("host_key", "n", failed.alias("host_failed")), "quality-hosts")
+    rows = join_skewed(measured, verdicts, "host_key", "n", measured.count())
+    kept = ~_any(RULES) & ~(F.col("host_failed") & _any(STRICT))
+    return rows.withColumns({"base_failed": F.expr(RULES["base"]), "kept": kept})
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The measures, ``base_failed``, ``host_failed`` and ``kept`` of every document."""
-    return _judged(docs, host).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_failed")
+    """The measures, ``base_failed``, ``kept`` and ``host_failed`` of every document."""
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return _judged(docs, host).select("doc_id", *measures, "base_failed", "kept", "host_failed")
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that fail no rule themselves and whose host doesn't fail, all columns kept.
+    """The documents that are kept, with all their columns.
 
-    ``kept`` of the query leaves symbols and lines to hosts; here a document's own
-    failure of them counts as well, so that junk spread over good hosts goes.
     Verdicts go by row, so that null and repeated ids neither save nor cost a document.
     """
-    own = F.expr(" OR ".join(f"({c})" for c in RULES.values()))
-    rejected = _judged(docs, host).filter(own | F.col("host_failed")).select("row_key").distinct()
-    keyed = docs.select(_row_key("doc_id", host, "text").alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rejected = _judged(docs, host).filter(~F.col("kept")).select("row_key").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(_row_key("doc_id", host, "text").alias("row_key"), row)
     return by_ids(keyed, settle(rejected, "quality-rejected"), "left_anti", ("row_key",)).select("row.*")

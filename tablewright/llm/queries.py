@@ -75,10 +75,13 @@ m AS (SELECT w.doc_id, source, len(words)::BIGINT AS n_words, length(array_to_st
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, 10 * n_symbols > word_chars AS s_failed, 2 * n_dup_lines > n_lines AS l_failed FROM m),
 r AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE f) AS k FROM
   (SELECT source, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed, s_failed, l_failed]) AS f FROM b) GROUP BY ALL),
-p AS (SELECT rule, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 AS spread FROM r GROUP BY rule),
-s AS (SELECT rule, mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM p),
+p AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS squares, sum(k)::DOUBLE / sum(n) AS mean, sum(k::DOUBLE * k / n) AS q FROM r GROUP BY rule),
+c AS (SELECT rule, mean, CASE WHEN n - squares / n - hosts + 1 > 1e-9 AND mean * (1 - mean) > 0
+  THEN ((q - n * mean * mean) / (mean * (1 - mean)) - hosts + 1) / (n - squares / n - hosts + 1) ELSE 0 END AS corr FROM p),
+s AS (SELECT rule, mean, CASE WHEN corr > 1e-9 THEN least(greatest(1 / corr - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM c),
 v AS (SELECT source, max((k + mean * strength) / (n + strength)) >= 0.5 AS host_failed FROM r JOIN s USING (rule) GROUP BY source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR s_failed OR l_failed) AND NOT (host_failed AND (n_words < 40 OR 100 * n_repeat_words > 15 * n_words OR 20 * n_symbols > word_chars OR 4 * n_dup_lines > n_lines)) AS kept, host_failed
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 

@@ -65,10 +65,45 @@ def test_junk_of_good_hosts_goes(spark):
     good = " ".join(f"w{i}" for i in range(30))
     rows = [(i, f"{good}\n{i}", f"h{i % 5}") for i in range(100)] + [(100 + i, f"{good} {'#$%' * 20} {i}", f"h{i}") for i in range(5)] + [(200 + i, "\n".join([good, *"aaaaa"]), f"h{i}") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert all(r.kept for r in quality.quality_rules(docs).collect())
+    assert {r.doc_id for r in quality.quality_rules(docs).collect() if r.kept} == set(range(100))
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(100))
 
 
+def test_clean_documents_of_bad_hosts_stay(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(30))
+    rows = [(i, "bad", "bad") for i in range(57)] + [(100, long, "bad"), (101, short, "bad")] + [(200 + i, short, f"h{i % 4}") for i in range(80)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[100].host_failed and got[100].kept and not got[101].kept and not got[5].kept
+    assert all(got[200 + i].kept and not got[200 + i].host_failed for i in range(80))
+
+
+def test_small_hosts_keep_close_to_the_pooled_rate(spark):
+    good = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, good if i % 83 else "bad", f"one{i}") for i in range(1000)]  # hosts of one document
+    rows += [(2000 + i, "bad" if i < 2 else good, "three") for i in range(3)] + [(3000 + i, "bad" if i % 84 == 0 else good, "large") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.quality_rules(docs).collect()
+    assert not any(r.host_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {i for i, t, _ in rows if t == "bad"}
+    measured = quality.measure(docs).withColumn("host_key", F.concat(F.lit("="), F.col("host")))
+    counts = {}
+    for _, t, h in rows:
+        n, k = counts.get(h, (0, 0))
+        counts[h] = n + 1, k + (t == "bad")
+    n, mean = len(rows), sum(k for _, k in counts.values()) / len(rows)
+    even = mean * (1 - mean)
+    spread = sum(m * (k / m - mean) ** 2 for m, k in counts.values())
+    expected = lambda r: even * sum((1 - m / n) * (1 + (m - 1) * r) for m, _ in counts.values())
+    low, high = 0.0, 1.0  # the correlation that explains the spread, by bisection
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if expected((low + high) / 2) < spread else (low, (low + high) / 2)
+    strength = min(max(1 / low - 1, 1.0), 1e6) if low > 1e-9 else 1e6
+    for r in quality.host_rates(measured).collect():
+        m, k = counts[r.host_key[1:]]
+        assert r.n == m and r.base_rate == pytest.approx((k + mean * strength) / (m + strength), rel=1e-6)
+    assert quality.prior_strength(0.0, 0.0, 0, 0.0, 0.0) == quality.prior_strength(5.0, 5.0, 5, 0.2, 0.8) == 1e6
+
+
 def test_verdicts_go_by_row(spark):
     good = " ".join(f"w{i}" for i in range(30))
     rows = [(1, good, "a"), (1, "short", "a"), (None, good, "a"), (None, "short", "a"), (None, None, None)] + [(10 + i, good, None if i % 2 else "a") for i in range(20)]
@@ -187,3 +222,58 @@ def test_redaction_leaves_nothing(spark):
     assert secrets.scan_secrets(clean).filter(F.col("spans") != "").count() == 0
     kept = {r.doc_id: r for r in clean.collect()}
     assert kept[0].text is None and kept[7].text == SECRETS[7] and kept[8].text == "key [SECRET] end" and kept[8].n_chars == 16
+
+
+def test_unrelated_size_columns_stay(spark):
+    docs = spark.createDataFrame([(1, 'token = "abcdefgh12"', "many"), (2, None, None)], "doc_id long, text string, n_chars string")
+    got = {r.doc_id: tuple(r) for r in secrets.redact_secrets(docs).collect()}
+    assert got == {1: (1, "[SECRET]\"", "many"), 2: (2, None, None)}
+    docs = spark.createDataFrame([(1, "password=hunter22 x", 19)], "doc_id long, text string, n_chars int")
+    assert tuple(secrets.redact_secrets(docs).first()) == (1, "[SECRET] x", 10)
+
+
+KEY = "Zx8Qw3Er5Ty7Ui9Op1As3Df5Gh7Jk9Lz2Xc4Vb6N"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"AKIA{'B7' * 10}/{KEY}", "access:0:24,entropy:24:65"),
+        (f"path/example/{KEY}", "entropy:13:53"),
+        (f"{KEY}/sample", "entropy:0:40"),
+        ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ""),
+        ("deploy-9f86D0818e3a7c65b9aF", "entropy:0:27"),
+        ("order-12345678901234567890", ""),
+        ("QzXvBnMkLpWrTyHgFdSaZcVx", "entropy:0:24"),
+        ("aVeryLongCamelCaseIdentifierHere SOME_CONSTANT_OF_THE_PROGRAM some-slug-of-plain-words", ""),
+        ("password=hunter22/" + KEY, "assign:0:58"),
+    ],
+)
+def test_what_is_random(text, want):
+    assert secrets.spelled(secrets.find(text)) == want
+
+
+def test_planted_secrets_are_found():
+    rng = np.random.default_rng(8)
+    alphabets = ["0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    prose = "The committee met on Tuesday to discuss internationalisation, self-determination and/or well-known Donaudampfschifffahrtsgesellschaft rules at https://www.host.net/some/long/path/to-a-page_of_words today. "
+    found = alarms = 0
+    for i in range(300):
+        key = "".join(rng.choice(list(alphabets[i % 3]), 32 + i % 17))
+        at = len(prose)
+        spans = secrets.find(prose + key + " " + prose)
+        found += any(a <= at and b >= at + len(key) for a, _, b in spans) or sum(b - a for a, _, b in secrets.find(key)) >= len(key) - 8
+        alarms += len(secrets.find(prose + str(i)))
+    assert found >= 297 and alarms == 0
+
+
+def test_scans_are_linear_in_spans():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        text = f"token=abcdef {KEY} " * n
+        start = time.process_time()
+        assert len(secrets.find(text)) == 2 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0]
