@@ -2,22 +2,24 @@
 
 A word is scored by all its segmentations into vocabulary pieces: a forward
 recursion in log space over the lattice gives its marginal probability, and the
-document's is the product over its words and one end. Piece weights start from
-the vocabulary's own scores (a merge rank r stands for a weight of 1 / (r + 2.7))
-and are fitted to the training documents by expected counts over the same
-lattice, ``ROUNDS`` times.
+document's is the product over its words and one end. The vocabulary's own scores
+are the weights: its scores are merge ranks r, and a piece's weight is
+(r + 2.7) ** -temperature. Training documents set two numbers only, the
+temperature and the probability of the end, both from the pieces' expected counts
+over the lattices of all training words.
 
 Each different word is weighed once, in a table that Spark counts and shuffles;
 the recursion runs over batches of words of one length. The ``HEAD`` most
-frequent words of that table, a fixed number, go to all tasks; other words of a
-document meet the table by a join on the word.
+used words of that table, a fixed number, go to all tasks; other words of a
+document, none of which can be hot, meet the table by a join on the word.
 
 Base scores are add-one unigram scores from the same word counts.
 
 Defined cases: a null or empty text is the end alone; equal rows get equal
-rows; a null doc_id counts as the text ''; with no training documents every
-count is 0 and weights are the vocabulary's own; an empty table gives an empty
-result; other columns are ignored.
+rows; a null doc_id counts as the text ''; texts and words of any length are
+scored whole; with no training documents every count is 0, the temperature is 1
+and the end is free; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +38,8 @@ from .common import settle, text_batches
 
 FOLDS, HELD_OUT = 7, 2
 HEAD = 100_000
-ROUNDS = 2
-#: Weight of the vocabulary's own scores against expected counts, in pieces.
-PRIOR = 100.0
+#: Temperatures between which the fitted one is sought.
+COLDEST, HOTTEST = 0.05, 8.0
 FLUSH = 250_000
 #: Words that are weighed together; characters from which a word is weighed alone.
 TOGETHER, LONG = 40_000, 200
@@ -189,57 +190,80 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) of every word of any document; c: its count in training documents."""
+    """(word, c, uses) of every word of any document; c: its count in training documents, uses: in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained: Counter[bytes] = Counter()
-        other: set[bytes] = set()
+        other: Counter[bytes] = Counter()
 
         def rows() -> pa.RecordBatch:
             only = [w for w in other if w not in trained]
-            return pa.RecordBatch.from_arrays([pa.array([*trained, *only], pa.binary()), pa.array([*trained.values(), *([0] * len(only))], pa.int64())], names=["word", "c"])
+            c = [*trained.values(), *([0] * len(only))]
+            uses = [k + other.get(w, 0) for w, k in trained.items()] + [other[w] for w in only]
+            words = pa.array([*trained, *only], pa.binary())
+            return pa.RecordBatch.from_arrays([words, pa.array(c, pa.int64()), pa.array(uses, pa.int64())], names=["word", "c", "uses"])
 
         for batch in batches:
             for held_out, text in zip(batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
-                words = _words(text.as_py())
-                if held_out:
-                    other.update(words)
-                else:
-                    trained.update(words)
+                (other if held_out else trained).update(_words(text.as_py()))
                 if len(trained) + len(other) > FLUSH:
                     yield rows()
                     trained.clear()
                     other.clear()
         yield rows()
 
-    return docs.select("held_out", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    found = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, uses long")
+    return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
+
+
+def best_temperature(own: np.ndarray, uses: np.ndarray) -> float:
+    """The exponent of the weights under which the expected uses are likeliest; that likelihood is concave in it."""
+    some = own > 0
+    log_own = np.log(own[some])
+    want = float(uses[some] @ log_own / uses[some].sum())
+    low, high = COLDEST, HOTTEST
+    for _ in range(60):
+        t = (low + high) / 2
+        w = np.exp(t * (log_own - log_own.max()))
+        low, high = (t, high) if w @ log_own / w.sum() < want else (low, t)
+    return (low + high) / 2
+
+
+def scaled(own: np.ndarray, temperature: float) -> np.ndarray:
+    """Log weights at a temperature; pieces of no weight keep none."""
+    with np.errstate(divide="ignore"):
+        logp = temperature * np.log(own)
+    return logp - np.logaddexp.reduce(logp[own > 0])
+
+
+def expected_uses(table: DataFrame, path: str) -> np.ndarray:
+    """Expected uses of each piece over all training words, under the vocabulary's own weights."""
+    own = pieces(path)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(path, scaled(own, 1.0))
+        total = np.zeros(len(own))
+        for batch in _together(batches):
+            counts = batch.column("c").to_numpy().astype(float)
+            total += lattice.expected([w.decode() for w in batch.column("word").to_pylist()], counts)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
+
+    found = table.filter("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double")
+    uses = np.zeros(len(own))
+    for r in found.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row per piece at most
+        uses[r["piece"]] = r["uses"]
+    return uses
 
 
 def fit(table: DataFrame, path: str, n_docs: int) -> tuple[np.ndarray, float]:
     """Log weights of pieces and of the end, from the counted words."""
-    own = pieces(path)[1]
-    end = max(n_docs, 1)
-    weight, log_end = own, 0.0
-    for _ in range(ROUNDS):
-        with np.errstate(divide="ignore"):
-            logp = np.log(weight)
-
-        def run(batches: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(path, logp)
-            total = np.zeros(len(logp))
-            for batch in _together(batches):
-                total += lattice.expected([w.decode() for w in batch.column("word").to_pylist()], batch.column("c").to_numpy().astype(float))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
-
-        got = table.filter("c > 0").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # a row per piece at most
-        uses = PRIOR * own
-        for r in got:
-            uses[r["piece"]] += r["uses"]
-        weight = uses / (uses.sum() + end)
-        log_end = math.log(end / (uses.sum() + end))
-    with np.errstate(divide="ignore"):
-        return np.log(weight), log_end
+    own, uses = pieces(path)[1], expected_uses(table, path)
+    total = float(uses.sum())
+    if not total:
+        return scaled(own, 1.0), 0.0
+    logp = scaled(own, best_temperature(own, uses))
+    return logp + math.log(total / (total + n_docs)), math.log(n_docs / (total + n_docs))
 
 
 def score_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -262,16 +286,18 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in _together(batches):
             marginal = lattice.marginals([w.decode() for w in batch.column("word").to_pylist()]) / ten
             base = np.log10(batch.column("c").to_numpy() + 1.0) - scale
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(marginal)], names=["word", "c", "base", "marginal"])
+            columns = [*batch.columns, pa.array(base), pa.array(marginal)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "uses", "base", "marginal"])
 
-    weighed = settle(table.mapInArrow(weigh, "word binary, c long, base double, marginal double"), "lm-weights")
-    top = weighed.filter("c > 0").orderBy(F.desc("c"), "word").limit(HEAD)
-    head = {bytes(r["word"]): (r["base"], r["marginal"]) for r in top.collect()}  # of fixed number
-    sent = spark.sparkContext.broadcast(head)
+    kinds = "word binary, c long, uses long, base double, marginal double"
+    weighed = settle(table.mapInArrow(weigh, kinds), "lm-weights")
+    top = weighed.orderBy(F.desc("uses"), "word").limit(HEAD).select("word", "c", "base", "marginal")
+    sent = spark.sparkContext.broadcast(top.toArrow())  # HEAD rows at most
     end_base, end_score = math.log10(n_docs + 1) - scale, log_end / ten
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
+        words, c, *values = (x.to_pylist() for x in sent.value.columns)
+        get = dict(zip(words, zip((int(x > 0) for x in c), *values, strict=True), strict=True)).get
         names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words", "uses"]
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
@@ -284,9 +310,9 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
                     if found is None:
                         rest[w] = k
                     else:
-                        known += k
-                        base += k * found[0]
-                        total += k * found[1]
+                        known += k * found[0]
+                        base += k * found[1]
+                        total += k * found[2]
                 for column, value in zip(columns, (len(words) + 1, known, base, total, list(rest), list(rest.values())), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
@@ -294,9 +320,16 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     numbered = rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), "text")
-    part = settle(numbered.mapInArrow(score, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, words array<binary>, uses array<long>"), "lm-documents")
-    rest = part.select("row", F.explode(F.arrays_zip("words", "uses")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.uses").alias("k"))
-    rest = rest.join(weighed, "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.col("base")).alias("b"), F.sum(F.col("k") * F.col("marginal")).alias("s"))
+    kinds = "row long, n_tokens long, n_known long, base double, score double, words array<binary>, uses array<long>"
+    part = settle(numbered.mapInArrow(score, f"doc_id {kind}, held_out boolean, {kinds}"), "lm-documents")
+    rest = part.select("row", F.explode(F.arrays_zip("words", "uses")).alias("w"))
+    rest = rest.select("row", F.col("w.words").alias("word"), F.col("w.uses").alias("k"))
+    sums = [
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"),
+        F.sum(F.col("k") * F.col("base")).alias("b"),
+        F.sum(F.col("k") * F.col("marginal")).alias("s"),
+    ]
+    rest = rest.join(weighed.drop("uses"), "word").groupBy("row").agg(*sums)
     out = part.drop("words", "uses").join(rest, "row", "left")
     return out.select(
         "doc_id",

@@ -81,3 +81,44 @@ def test_base_scores_by_brute_force(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lattice.score_documents(docs.limit(0), PATH).count() == 0
+
+
+def brute_log10(model, word):
+    return math.log10(sum(p for p, _ in segmentations(model, lattice.MARK + word)))
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "HEAD", 2)
+    texts = ["the cat sat", None, "the the nation", "über x", "A cat", "漢 dog the", "unseen ones", ""] * 2
+    docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, words binary")
+    train = [(t or "").lower().split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    own = lattice.pieces(PATH)[1]
+    first = lattice.Lattice(PATH, lattice.scaled(own, 1.0))
+    uses = np.zeros(len(own))
+    for word, k in Counter(w for ws in train for w in ws).items():
+        found = list(segmentations(first, lattice.MARK + word))
+        for p, ids in found:
+            for at in ids:
+                if at >= 0:
+                    uses[at] += k * p / sum(q for q, _ in found)
+    likely = lambda t: uses[own > 0] @ lattice.scaled(own, t)[own > 0]
+    best = max(np.arange(0.05, 8.0, 0.005), key=likely)
+    assert lattice.best_temperature(own, uses) == pytest.approx(best, abs=0.006)
+    total = uses.sum() + len(train)
+    fitted = lattice.Lattice(PATH, lattice.scaled(own, lattice.best_temperature(own, uses)) + math.log(uses.sum() / total))
+    end = math.log10(len(train) / total)
+    got = {r.doc_id: r for r in lattice.score_documents(docs, PATH).collect()}
+    for i, t in enumerate(texts):
+        want = end + sum(brute_log10(fitted, w) for w in (t or "").lower().split())
+        assert got[i].score == pytest.approx(want, rel=1e-9), t
+
+
+def test_nothing_to_learn_from(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    texts = ["the cat", None, "long " * 40_000, "x" * 30_000]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.score_documents(docs, PATH).collect()}
+    model = lattice.Lattice(PATH, lattice.scaled(lattice.pieces(PATH)[1], 1.0))
+    assert all(r.held_out and r.n_known == r.train_tokens == 0 and r.base_score == 0 for r in got.values())
+    assert got[ids[0]].score == pytest.approx(brute_log10(model, "the") + brute_log10(model, "cat")) and got[ids[1]].score == 0
+    assert got[ids[2]].score == pytest.approx(40_000 * model.marginals(["long"])[0] / math.log(10)) and got[ids[3]].n_tokens == 2
