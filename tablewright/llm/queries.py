@@ -98,20 +98,21 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS m FROM r GRO
 """
 
 ORACLES["op10_warc"] = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS b FROM pages),
-d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
-k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keeper FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to FROM k
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, url, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER w AS keeper, row_number() OVER (w ORDER BY page_id DESC NULLS LAST, url NULLS FIRST) AS place FROM d WINDOW w AS (PARTITION BY payload_digest, payload_bytes))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND keeper IS NOT NULL AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND keeper IS NOT NULL AND place > 1 THEN keeper END AS refers_to FROM k
 """
 
 ORACLES["op9_sharding"] = r"""
 WITH tbl AS (SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
-d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS stratum, md5('interleave-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-c AS (SELECT doc_id, stratum, h, octet_length(encode(text))::BIGINT + 1 AS size,
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS stratum FROM documents),
+e AS (SELECT doc_id, stratum, octet_length(encode(text))::BIGINT + 1 AS size,
   xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::UBIGINT)),
     lambda r, b: xor(r >> 8, t[((xor(r, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, tbl),
-r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) - 1 + ('0x' || substr(md5('interleave-1/' || stratum), 1, 8))::BIGINT / 4294967296.0::DOUBLE) / (count(*) OVER (PARTITION BY stratum))::DOUBLE AS share FROM c),
-a AS (SELECT *, row_number() OVER (ORDER BY share, h, stratum, doc_id) - 1 AS place, count(*) OVER () AS n FROM r)
+c AS (SELECT *, md5('interleave-1:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32) AS h FROM e),
+r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST) - 1 + ('0x' || substr(md5('interleave-1/' || stratum), 1, 8))::BIGINT / 4294967296.0::DOUBLE) / (count(*) OVER (PARTITION BY stratum))::DOUBLE AS share FROM c),
+a AS (SELECT *, row_number() OVER (ORDER BY share, h, stratum, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 8 // n)::INTEGER AS shard, place - ((place * 8 // n) * n + 7) // 8 AS slot, NULL::INTEGER AS grown_shard FROM a
 """

@@ -10,8 +10,10 @@ ever holds a whole source or the whole table. At most 65,536 bucket counts meet
 in one place, however many rows there are.
 
 Defined cases: a null text has size 1 and CRC 0; null sources form one source;
-rows that are equal in doc_id and text are interchangeable; an empty table gives
-an empty result; other columns are ignored.
+rows without an id, or with a repeated one, are told apart by their texts, which
+the shuffling hash covers too; rows that are equal in doc_id and text are
+interchangeable; texts of any length count whole; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,16 +34,16 @@ def _unit(hex_digits: Column) -> Column:
 def interleave(docs: DataFrame, shards: int = 8, stratum: str = "source", seed: str = SEED) -> DataFrame:
     """doc_id, size, text_crc32, stratum, shard and slot of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = settle(
-        docs.select(
-            F.col("doc_id"),
-            F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("stratum"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
-        ),
-        "shard-rows",
+    crc = F.crc32(text.cast("binary"))
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), crc.cast("string"))
+    rows = docs.select(
+        F.col("doc_id"),
+        F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("stratum"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        crc.alias("text_crc32"),
+        F.md5(name.cast("binary")).alias("h"),
     )
+    rows = settle(rows, "shard-rows")
     n = rows.count()
     buckets = 256
     while buckets < 65536 and n > buckets * 4096:
@@ -49,14 +51,15 @@ def interleave(docs: DataFrame, shards: int = 8, stratum: str = "source", seed:
 
     rows = rows.withColumn("bucket", F.floor(_unit(F.col("h")) * buckets).cast("int"))
     whole = Window.partitionBy("stratum")
-    before = F.coalesce(F.sum("n").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n")).select("stratum", "bucket", before.alias("before"), F.sum("n").over(whole).alias("total"))
+    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    starts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("stratum", "bucket", before, F.sum("n").over(whole).alias("total"))
     place = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "doc_id", "text_crc32", "size"))
-    share = (F.col("before") + F.col("place") - 1 + _unit(F.md5(F.concat(F.lit(seed + "/"), F.col("stratum"))))) / F.col("total")
-    ranked = settle(
-        rows.withColumn("place", place).join(starts, ["stratum", "bucket"]).select("doc_id", "size", "text_crc32", "stratum", "h", share.alias("share")),
-        "shard-ranks",
-    )
+    start = _unit(F.md5(F.concat(F.lit(seed + "/"), F.col("stratum"))))
+    share = (F.col("before") + F.col("place") - 1 + start) / F.col("total")
+    ranked = rows.withColumn("place", place).join(starts, ["stratum", "bucket"])
+    ranked = settle(ranked.select("doc_id", "size", "text_crc32", "stratum", "h", share.alias("share")), "shard-ranks")
 
     ranked = ranked.withColumn("bucket", F.floor(F.col("share") * buckets).cast("int"))
     counts = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

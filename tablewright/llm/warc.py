@@ -7,10 +7,19 @@ is read beyond its HTTP head. Writing gives each task a file of its own under a
 temporary name; the driver renames what successful tasks report, so lost or
 repeated tasks leave nothing behind. Paths go through Arrow's file systems.
 
+A file is one task, so archives should be written in files of a few hundred MB;
+in ``.warc.gz`` files a block is stepped over by decompressing it, in ``.warc``
+files by a seek.
+
 Defined cases: a null payload is empty; line breaks in a header value become
 blanks; null headers are left out and read as null; files are ``.warc`` or
 ``.warc.gz`` (a member per record); other files are ignored; an empty folder
-gives no rows but keeps the schema.
+gives no rows but keeps the schema. Of pages with equal payloads, and of pages
+that repeat the largest page_id among them, one responds (that of the least url);
+where all of them lack a page_id, all respond, since nothing can be referred to.
+A payload of any length that Arrow's binary columns hold is written and read
+whole, one record at a time; columns other than page_id, url and html are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -252,26 +261,47 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def _page(c: Column) -> Column:
+    return F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
+
+
 def page_records(pages: DataFrame) -> DataFrame:
-    """A row per page in the source's schema: of equal payloads the largest page_id responds, others revisit it."""
+    """A row per page in the source's schema: of equal payloads the largest page_id responds, others revisit it.
+
+    Roles are settled on digests, ids and counts, without payloads.
+    """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    groups = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    groups = settle(groups.filter("n > 1").select("payload_digest", "keeper"), "warc-repeated")
-    if groups.count() <= BROADCAST_DIGESTS:
-        groups = F.broadcast(groups)
-    again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    return rows.join(groups, "payload_digest", "left").select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        name.alias("record_id"),
+    ids = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = ids.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.sum("n").alias("n"), F.max_by("n", "page_id").alias("tied"))
+    groups = settle(groups.filter("n > 1 AND keeper IS NOT NULL").select("payload_digest", "keeper", "tied"), "warc-repeated")
+    tied = groups.filter("tied > 1").count()
+    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_DIGESTS else groups, "payload_digest", "left")
+    keeps = F.col("page_id").eqNullSafe(F.col("keeper"))
+    again = F.col("keeper").isNotNull() & ~keeps
+    record_columns = [
+        F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
+        _page(F.col("page_id")).alias("record_id"),
         F.col("url").alias("target_uri"),
-        F.when(again, F.concat(F.lit("urn:page:"), F.col("keeper").cast("string"))).alias("refers_to"),
-        "payload_digest",
-        "payload_bytes",
-        F.when(~again, F.col("payload")).alias("payload"),
-    )
+        F.when(F.col("again"), _page(F.col("keeper"))).alias("refers_to"),
+        F.col("payload_digest"),
+        F.col("payload_bytes"),
+        F.when(~F.col("again"), F.col("payload")).alias("payload"),
+    ]
+    if not tied:
+        return joined.withColumn("again", again).select(*record_columns)
+    ties = joined.filter(keeps & (F.col("tied") > 1))
+    same = ["payload_digest", "payload_bytes", "keeper", "page_id"]
+    one = ties.groupBy(*same).agg(F.min(F.struct("url")).alias("least"), F.first("payload").alias("payload"))
+    responses = one.select(*same, F.col("least.url").alias("url"), "payload", F.lit(False).alias("again"))
+    least = ties.groupBy("payload_digest").agg(F.min(F.struct("url")).alias("least"))
+    copies = ties.groupBy(*same, "url").agg(F.count(F.lit(1)).alias("n")).join(least, "payload_digest")
+    copies = copies.withColumn("n", F.col("n") - F.struct("url").eqNullSafe(F.col("least")).cast("long")).filter("n > 0")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    revisits = copies.select(*same, "url", F.lit(None).cast("binary").alias("payload"), F.lit(True).alias("again"))
+    rest = joined.filter(~(keeps & (F.coalesce("tied", F.lit(0)) > 1))).withColumn("again", again)
+    return rest.select(*responses.columns).unionByName(responses).unionByName(revisits).select(*record_columns)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

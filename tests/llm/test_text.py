@@ -264,6 +264,10 @@ def test_shards_match_the_mixture(spark):
     assert set(by) == set(range(8)) and max(by.values()) - min(by.values()) <= 1
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(by[k]))
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    none = sharding.interleave(nameless).collect()
+    assert sorted((r.size, r.text_crc32) for r in none) == sorted((r.size, r.text_crc32) for r in got)
+    assert sorted((r.shard, r.slot) for r in none) == sorted((r.shard, r.slot) for r in got)
     few = sharding.interleave(docs.filter("source IS NULL OR source IN ('s', 't')")).collect()
     for s, n in Counter(r.stratum for r in few).items():
         parts = Counter(r.shard for r in few if r.stratum == s)
@@ -287,6 +291,18 @@ def test_archives_by_brute_force(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_one_of_tied_pages_responds(spark):
+    big, long = "<p>é</p>" * 200, "<td>x</td>" * 300_000
+    rows = [(5, "b", big), (5, "a", big), (5, "a", big), (2, "c", big), (None, "d", long), (None, "e", long), (7, "f", long + "y"), (7, "f", long + "y"), (3, None, "z" * 1000), (3, None, "z" * 1000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, refers_to long")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()), key=repr)
+    n = len(long)
+    want = [(5, 1800, "response", None), (5, 1800, "revisit", 5), (5, 1800, "revisit", 5), (2, 1800, "revisit", 5), (None, n, "response", None), (None, n, "response", None)]
+    want += [(7, n + 1, "response", None), (7, n + 1, "revisit", 7), (3, 1000, "response", None), (3, 1000, "revisit", 3)]
+    assert got == sorted(want, key=repr)
+    assert {(r.record_type, r.target_uri) for r in warc.page_records(pages.filter("page_id = 5")).collect()} == {("response", "a"), ("revisit", "a"), ("revisit", "b")}
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_archive_source(spark, compression):
     pages = spark.createDataFrame([(i, f"http://h{i % 3}/", f"<p>{i}</p>" * 300) for i in range(30)], "page_id long, url string, html string")
