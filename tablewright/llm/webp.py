@@ -2,17 +2,20 @@
 
 ``decode`` reads prefix codes, meta prefix groups, back-references and the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms. Where every prefix code of an image gives all its symbols one
-length, as ``encode`` chooses by default, pixels are fixed-width records and are
-unpacked together; any other stream is decoded symbol by symbol.
+transforms. An image whose pixels differ in green alone, which is what a palette
+gives, is decoded several symbols a step: a table over the next bits holds all
+symbols that they complete. Other streams are decoded symbol by symbol.
 
 ``store_texts`` keeps each whole text as media and reads features back from the
-stored bytes. A payload is a row of 64 RGB pixels per 192 bytes; payloads of more
-than 16,384 rows become several files, one after another.
+stored bytes. A payload is a row of samples per 192 bytes, and each file takes the
+form that entropy makes smaller: 192 pixels a row under a palette of the samples
+that occur, or 64 RGB pixels a row, with subtracted green or the left predictor
+where they pay. Either has Huffman codes and copies, RGB has a colour cache too.
+Payloads of more than 16,384 rows become several files, one after another.
 
 Defined cases: a null text is empty (one row of blanks); equal texts give equal
 values; an empty table gives an empty result; texts of any length are stored
-whole; other columns are ignored.
+whole; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,13 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 WIDTH, ROWS, UNIT = 64, 16384, 192
+#: Bits of the step table, symbols that a step may give, bits of a stream that are looked at together.
+STEP_BITS, STEP_SYMBOLS, STRETCH = 12, 4, 1 << 20
+#: Pixels that a copy must have at least (palette indices, other pixels) and at most; the longest Huffman code.
+SHORT_COPY, SHORT_RGB, LONG_COPY, DEEPEST = 16, 3, 4096, 12
+#: Colour cache of RGB files; bits that their further codes cost, and the share of a palette's entropy that
+#: RGB must beat, since copies of single samples are found under a palette only.
+RGB_CACHE, RGB_HEAD, RGB_SHARE = 6, 1000, 0.9
 LENGTHS = 24  # of the green alphabet, symbols that stand for a run's length
 #: Fixed value: the order in which lengths of the code-length code are stored.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -65,18 +75,30 @@ class Bits:
         return value
 
 
-@lru_cache(1 << 12)
-def canonical(lengths: tuple[int, ...]) -> list[int]:
-    """The code of each symbol, its bits in the order in which they are stored (first bit lowest)."""
-    out, code, last = [0] * len(lengths), 0, 0
+#: Bytes with their bits in the other order.
+_MIRROR = [int(f"{b:08b}"[::-1], 2) for b in range(256)]
+
+
+@lru_cache(1 << 10)
+def canonical_pairs(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(symbol, code) of each symbol that is used, the code's bits in the order in which they are stored."""
+    out, code, last = [], 0, 0
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - last
         last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        out.append((s, (_MIRROR[code & 255] << 8 | _MIRROR[code >> 8]) >> (16 - n)))
         code += 1
     return out
 
 
+def canonical(lengths: tuple[int, ...]) -> list[int]:
+    """The code of each symbol, its bits in the order in which they are stored (first bit lowest)."""
+    out = [0] * len(lengths)
+    for s, code in canonical_pairs(lengths):
+        out[s] = code
+    return out
+
+
 class Prefix:
     """A prefix code: one symbol of no bits, or a table over the longest code."""
 
@@ -86,25 +108,25 @@ class Prefix:
         self.most, self.lengths = (0 if self.single >= 0 else max(lengths)), tuple(lengths)
         #: Bits and symbols in code order, where all symbols have one length.
         self.uniform = (self.most, np.array(used)) if self.single >= 0 or len(used) == 1 << self.most else None
-        self.table: list[tuple[int, int]] | None = None
+        self.table: memoryview | None = None
 
-    def build(self) -> list[tuple[int, int]]:
+    def build(self) -> memoryview:
+        """Bits << 16 | symbol, for each value of the longest code's bits."""
         if sum(1 << (self.most - x) for x in self.lengths if x) != 1 << self.most:
             raise ValueError("a prefix code is incomplete or oversubscribed")
-        table = [(0, 0)] * (1 << self.most)
-        for s, code in enumerate(canonical(self.lengths)):
-            if n := self.lengths[s]:
-                for k in range(code, 1 << self.most, 1 << n):
-                    table[k] = (n, s)
-        self.table = table
-        return table
+        table = np.zeros(1 << self.most, np.int32)
+        for s, code in canonical_pairs(self.lengths):
+            n = self.lengths[s]
+            table[code :: 1 << n] = n << 16 | s
+        self.table = memoryview(table)
+        return self.table
 
     def read(self, bits: Bits) -> int:
         if self.single >= 0:
             return self.single
-        n, s = (self.table or self.build())[bits.peek(self.most)]
-        bits.at += n
-        return s
+        x = (self.table or self.build())[bits.peek(self.most)]
+        bits.at += x >> 16
+        return x & 65535
 
 
 @lru_cache(1 << 12)
@@ -146,7 +168,9 @@ def _extended(bits: Bits, symbol: int) -> int:
     if symbol < 4:
         return symbol + 1
     extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
+    value = ((2 + (symbol & 1)) << extra) + bits.peek(extra) + 1
+    bits.at += extra  # whether the stream goes on so far is for the caller to see
+    return value
 
 
 def _distance(code: int, width: int) -> int:
@@ -171,40 +195,155 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool = False) -> np.nd
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_prefix(bits, n) for n in sizes] for _ in range(groups)]
     n = width * height
+    if groups == 1 and not cache_bits and all(c.single >= 0 for c in codes[0][1:4]):
+        green, red, blue, alpha, far = codes[0]
+        rest = red.single << 16 | blue.single | alpha.single << 24
+        return (_one_channel(bits, green, far, n, width).astype(np.uint32) << np.uint32(8) | np.uint32(rest)).reshape(height, width)
     parts = [c.uniform for c in codes[0][:4]]
     if groups == 1 and all(parts) and parts[0][1].max() < 256:
         return _fixed_width(bits, parts, n).reshape(height, width)
 
     out = np.zeros(n, np.uint32)
     cache = [0] * (1 << cache_bits) if cache_bits else []
+    end_bit = 8 * len(bits.data)
     at = 0
     while at < n:
         green, red, blue, alpha, far = codes[int(meta[(at // width) >> tile, (at % width) >> tile])] if meta is not None else codes[0]
         s = green.read(bits)
         if s < 256:
-            out[at] = s << 8 | red.read(bits) << 16 | blue.read(bits) | alpha.read(bits) << 24
-            end = at + 1
+            pixel = s << 8 | red.read(bits) << 16 | blue.read(bits) | alpha.read(bits) << 24
+            out[at] = pixel
+            if cache:
+                cache[(0x1E35A7BD * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
+            at += 1
         elif s < 256 + LENGTHS:
-            length = _extended(bits, s - 256)
+            end = at + _extended(bits, s - 256)
             back = _distance(_extended(bits, far.read(bits)), width)
-            end = at + length
             if back > at or end > n:
                 raise ValueError("a back-reference leaves the image")
             for k in range(at, end, back):
                 m = min(back, end - k)
                 out[k : k + m] = out[k - back : k - back + m]
+            if cache:
+                for pixel in out[at:end].tolist():
+                    cache[_slot(pixel, cache_bits)] = pixel
+            at = end
         else:
             out[at] = cache[s - 256 - LENGTHS]
-            end = at + 1
-        if cache:
-            for pixel in out[at:end].tolist():
-                cache[_slot(pixel, cache_bits)] = pixel
-        at = end
-        if bits.at > 8 * len(bits.data):
+            at += 1
+        if bits.at > end_bit:
             raise ValueError("the stream ends early")
     return out.reshape(height, width)
 
 
+def _step_table(code: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value of the next bits: bits taken, literals given, and these literals.
+
+    No bits are taken where the next symbol is a copy or needs more bits.
+    """
+    size = 1 << STEP_BITS
+    first = np.full(size, 99 << 8, np.int32)  # bits << 8 | literal
+    for s, c in canonical_pairs(code.lengths):
+        n = code.lengths[s]
+        if n <= STEP_BITS and s < 256:
+            first[c :: 1 << n] = n << 8 | s
+    at, taken, alive = np.arange(size), np.zeros(size, np.int32), np.ones(size, bool)
+    given, symbols = np.zeros(size, np.uint8), np.zeros((size, STEP_SYMBOLS), np.uint8)
+    for k in range(STEP_SYMBOLS):
+        x = first[at]
+        step = x >> 8
+        alive &= taken + step <= STEP_BITS
+        symbols[:, k] = x & 255
+        given += alive
+        step *= alive
+        taken += step
+        at >>= step
+    return taken.astype(np.uint8), given, symbols
+
+
+_PLACES = np.arange(STEP_SYMBOLS)
+
+
+def _one_channel(bits: Bits, green: Prefix, far: Prefix, n: int, width: int) -> np.ndarray:
+    """The green symbols of n pixels that have no other, copies made.
+
+    Stretches of the stream are walked by steps of several literals; copies, and
+    codes that are too long for a step, are read on the way and made afterwards.
+    """
+    if green.single >= 0:
+        if green.single >= 256:
+            raise ValueError("an image can't begin with a copy")
+        return np.full(n, green.single, np.uint8)
+    if green.table is None:
+        green.build()
+    taken, given, symbols = _step_table(green)
+    data = np.frombuffer(bits.data + bytes(16), np.uint8)
+    last = 8 * len(bits.data)
+    out, p = bytearray(), bits.at
+    while len(out) < n and p < last:
+        first = p >> 3
+        size = min(STRETCH, 16 * (n - len(out)) + 64) >> 3
+        some = data[first : first + size + 2].astype(np.uint32)
+        joined = some[:-2] | some[1:-1] << np.uint32(8) | some[2:] << np.uint32(16)
+        values = (joined[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32((1 << STEP_BITS) - 1)
+        steps, ends, base = taken[values].tobytes(), min(len(values), last - 8 * first), 8 * first
+        q = p - base
+        starts: list[int] = []
+        events: list[tuple[int, int, int, int]] = []  # steps before, pixels, distance (0: a literal), place behind
+        add = starts.append
+        while q < ends:
+            while q < ends and (k := steps[q]):
+                add(q)
+                q += k
+            if q < ends:
+                bits.at = base + q
+                s = green.read(bits)
+                if s < 256:
+                    events.append((len(starts), s, 0, bits.at))
+                else:
+                    many = _extended(bits, s - 256)
+                    events.append((len(starts), many, _extended(bits, far.read(bits)), bits.at))
+                q = bits.at - base
+        v = values[starts]
+        many = given[v]
+        found = symbols[v][many[:, None] > _PLACES].tobytes()
+        sums = np.cumsum(many, dtype=np.int64)
+        behind = np.append(0, sums)[[e[0] for e in events]].tolist() if events else []
+        done, finish = 0, -1
+        for (_, pixels, code, place), upto in zip(events, behind, strict=True):
+            out += found[done:upto]
+            done = upto
+            if len(out) >= n:
+                break
+            if not code:
+                out.append(pixels)
+            else:
+                back, at = _distance(code, width), len(out)
+                if back > at or at + pixels > n:
+                    raise ValueError("a back-reference leaves the image")
+                if back >= pixels:
+                    out += out[at - back : at - back + pixels]
+                else:
+                    out += (out[at - back :] * (pixels // back + 1))[:pixels]
+            if len(out) == n:
+                finish = place
+                break
+        else:
+            out += found[done:]
+            done = len(found)
+        if len(out) >= n and finish < 0:  # steps may have read over the image's end: find its last literal's
+            done -= len(out) - n
+            del out[n:]
+            j = int(np.searchsorted(sums, done))
+            inside = symbols[v[j]][: done - int(sums[j]) + int(many[j])]
+            finish = base + starts[j] + sum(green.lengths[s] for s in inside.tolist())
+        p = finish if finish >= 0 else base + q
+    bits.at = p
+    if len(out) < n or p > last:
+        raise ValueError("the stream ends early")
+    return np.frombuffer(out, np.uint8)
+
+
 def _fixed_width(bits: Bits, parts: list[tuple[int, np.ndarray]], n: int) -> np.ndarray:
     """Literal pixels whose codes all have one length a channel; parts: of green, red, blue and alpha."""
     each = sum(k for k, _ in parts)
@@ -389,6 +528,22 @@ class Sink:
         self.flush()
         self.parts.append(bits)
 
+    def fields(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Values of 14 bits at most, one after another; four of them fill a word."""
+        fill = -len(values) % 4
+        v = np.append(values, np.zeros(fill, np.uint64)).astype(np.uint64).reshape(-1, 4)
+        n = np.append(sizes, np.zeros(fill, np.int64)).astype(np.uint64).reshape(-1, 4)
+        ends = np.cumsum(n, axis=1)
+        words = v[:, 0] | v[:, 1] << ends[:, 0] | v[:, 2] << ends[:, 1] | v[:, 3] << ends[:, 2]
+        at = np.cumsum(ends[:, 3]) - ends[:, 3]
+        total = int(at[-1] + ends[-1, 3]) if len(at) else 0
+        words <<= at & np.uint64(7)
+        first = (at >> np.uint64(3)).astype(np.int64)
+        some = np.zeros((total >> 3) + 9)
+        for k in range(8):  # bits of different words never meet, so sums are unions
+            some += np.bincount(first + k, weights=(words >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64), minlength=len(some))
+        self.rows(np.unpackbits(some.astype(np.uint8), bitorder="little")[:total])
+
     def bytes(self) -> bytes:
         self.flush()
         return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
@@ -412,14 +567,20 @@ def huffman_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         lengths[used] = 1
         return lengths
     while True:
-        heap = [(int(counts[s]), int(s), [int(s)]) for s in used]
+        n = len(used)
+        heap = list(zip(counts[used].tolist(), range(n), strict=True))
         heapq.heapify(heap)
-        lengths[:] = 0
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            lengths[a[2] + b[2]] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if lengths.max() <= most:
+        parent = [0] * (2 * n - 1)
+        for k in range(n, 2 * n - 1):
+            a, x = heapq.heappop(heap)
+            b, y = heap[0]
+            parent[x] = parent[y] = k
+            heapq.heapreplace(heap, (a + b, k))
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[used] = depth[:n]
             return lengths
         counts = np.where(counts > 0, (counts + 1) // 2 + 1, 0)
 
@@ -503,53 +664,133 @@ def write_pixels(sink: Sink, argb: np.ndarray, top: bool = False, flat: bool = T
         if rows:
             sink.rows(np.concatenate(rows, axis=1).ravel())
         return
-    tokens = _tokens(argb, cache_bits, copies)
-    counts = [np.zeros(n, np.int64) for n in sizes]
-    for t in tokens:
-        for k, s, _, _ in t:
-            counts[k][s] += 1
-    lengths = [huffman_lengths(x) for x in counts]
-    for x in lengths:
+    pixels = np.ascontiguousarray(argb).ravel()
+    n = len(pixels)
+    starts, lengths, backs = _copies(pixels, all(not plane.any() for plane in (planes[1], planes[2]))) if copies else (np.zeros(0, np.int64),) * 3
+    plain = np.zeros(n + 1, np.int64)
+    np.add.at(plain, starts, 1)
+    np.add.at(plain, starts + lengths, -1)
+    literal = np.cumsum(plain[:n]) == 0
+    hits = literal & _cache_hits(pixels, cache_bits) if cache_bits else np.zeros(n, bool)
+    literal &= ~hits
+    slots = (np.uint32(0x1E35A7BD) * pixels) >> np.uint32(32 - cache_bits) if cache_bits else np.zeros(n, np.uint32)
+
+    size_codes, size_extra, size_bits = _symbols(lengths)
+    table = _near(argb.shape[1])
+    near = table[np.minimum(backs, len(table) - 1)]
+    back_codes, back_extra, back_bits = _symbols(np.where(near > 0, near, backs + len(NEAR)))
+    counts = [np.bincount(plane[literal], minlength=size) for plane, size in zip(planes, sizes, strict=False)]
+    counts[0] += np.bincount(256 + size_codes, minlength=sizes[0]) + np.bincount(256 + LENGTHS + slots[hits], minlength=sizes[0])
+    counts.append(np.bincount(back_codes, minlength=40))
+    bits = [huffman_lengths(c, DEEPEST) for c in counts]
+    for x in bits:
         write_prefix(sink, x)
-    codes = [canonical(tuple(x.tolist())) for x in lengths]
-    single = [np.count_nonzero(x) < 2 for x in lengths]
-    for t in tokens:
-        for k, s, extra, n in t:
-            if not single[k]:
-                sink.put(int(codes[k][s]), int(lengths[k][s]))
-            sink.put(extra, n)
-
-
-def _tokens(argb: np.ndarray, cache_bits: int, copies: bool) -> list[list[tuple[int, int, int, int]]]:
-    """Literals, cache hits and copies of an image: lists of (code, symbol, extra value, extra bits)."""
-    pixels, width = argb.ravel().tolist(), argb.shape[1]
-    near = {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width >= 1}
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    seen: dict[tuple, int] = {}
-    out, at = [], 0
-    while at < len(pixels):
-        n, key = 0, tuple(pixels[at : at + 3])
-        back = at - seen.get(key, at)
-        if copies and back:
-            while at + n < len(pixels) and n < 4096 and pixels[at + n] == pixels[at + n - back]:
-                n += 1
-        if n >= 3:
-            a, b = _symbol(n), _symbol(near.get(back, back + len(NEAR)))
-            out.append([(0, 256 + a[0], *a[1:]), (4, *b)])
-        else:
-            n, p = 1, pixels[at]
-            if cache and cache[_slot(p, cache_bits)] == p:
-                out.append([(0, 256 + LENGTHS + _slot(p, cache_bits), 0, 0)])
-            else:
-                out.append([(0, p >> 8 & 255, 0, 0), (1, p >> 16 & 255, 0, 0), (2, p & 255, 0, 0), (3, p >> 24, 0, 0)])
-        for k in range(at, at + n):
-            seen[tuple(pixels[k : k + 3])] = k
-            if cache:
-                cache[_slot(pixels[k], cache_bits)] = pixels[k]
-        at += n
+    codes = [np.array(canonical(tuple(x.tolist())), np.int64) for x in bits]
+    bits = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in bits]  # a single symbol takes no bits
+
+    begin = np.zeros(n, bool)
+    begin[starts] = True
+    used = [0] + [k for k in (1, 2, 3) if bits[k].any()]
+    widths = np.where(literal, len(used), np.where(begin, 5, hits.astype(np.int64)))
+    where = np.cumsum(widths) - widths
+    values, sizes_of = np.zeros(int(widths.sum()), np.int64), np.zeros(int(widths.sum()), np.int64)
+
+    def put(at: np.ndarray, value: np.ndarray, size: np.ndarray) -> None:
+        values[at], sizes_of[at] = np.where(size > 0, value, 0), size
+
+    at = where[literal]
+    for k, channel in enumerate(used):
+        symbols = planes[channel][literal]
+        put(at + k, codes[channel][symbols], bits[channel][symbols])
+    put(where[hits], codes[0][256 + LENGTHS + slots[hits]], bits[0][256 + LENGTHS + slots[hits]])
+    at = where[begin]
+    put(at, codes[0][256 + size_codes], bits[0][256 + size_codes])
+    put(at + 1, size_extra, size_bits)
+    put(at + 2, codes[4][back_codes], bits[4][back_codes])
+    put(at + 3, back_extra & 1023, np.minimum(back_bits, 10))
+    put(at + 4, back_extra >> 10, np.maximum(back_bits - 10, 0))
+    sink.fields(values, sizes_of)
+
+
+@lru_cache(16)
+def _near(width: int) -> np.ndarray:
+    """The short distance code of each distance, 0 where there is none."""
+    out = np.zeros(8 * width + 10, np.int64)
+    for k, (x, y) in reversed(list(enumerate(NEAR))):
+        if x + y * width >= 1:
+            out[x + y * width] = k + 1
+    out[-1] = 0
     return out
 
 
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, extra values and extra bits of lengths or distances."""
+    v = values.astype(np.int64) - 1
+    extra = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - 2, 0)
+    small = v < 4
+    extra[small] = 0
+    symbol = np.where(small, v, 2 * (extra + 1) + (v >> extra & 1))
+    return symbol, np.where(small, 0, v & ((1 << extra) - 1)), extra
+
+
+def _earlier(keys: np.ndarray) -> np.ndarray:
+    """The latest earlier place of the same key, or -1."""
+    if len(keys) < 1 << 15 and keys.dtype == np.uint64:  # sort by 16 bits, which is linear; what they mix up is no match
+        order = np.argsort((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
+    else:
+        order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _cache_hits(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Pixels that the cache holds: the latest earlier pixel of the same slot is the same."""
+    slots = ((np.uint32(0x1E35A7BD) * pixels) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    before = _earlier(slots)
+    return (before >= 0) & (pixels[before] == pixels)
+
+
+def _copies(pixels: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies, left to right, none over another; narrow: pixels differ in green alone."""
+    least, window = (SHORT_COPY, 8) if narrow else (SHORT_RGB, SHORT_RGB)
+    none = (np.zeros(0, np.int64),) * 3
+    n = len(pixels) - window + 1
+    if n < 2:
+        return none
+    if narrow:
+        samples = (pixels >> np.uint32(8)).astype(np.uint8)
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(samples, 8)).view(np.uint64).ravel()
+    else:
+        p = pixels.astype(np.uint64)
+        keys = p[:n] * np.uint64(0xD6E8FEB86659FD93) ^ p[1 : n + 1] * np.uint64(0xA0761D6478BD642F) ^ p[2 : n + 2] << np.uint64(29)
+    before = _earlier(keys)
+    if not narrow:
+        for k in range(window):
+            before[pixels[k : k + n] != pixels[before + k]] = -1
+    at = np.flatnonzero(before >= 0)
+    if not len(at):
+        return none
+    back = at - before[at]
+    fresh = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(back) != 0)))
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(at)) - 1
+    some = last - first + window >= least
+    first, last = first[some], last[some]
+    starts, lengths, backs, done = [], [], [], 0
+    for a, b, d in zip(at[first].tolist(), (at[last] + window).tolist(), back[first].tolist(), strict=True):
+        a = max(a, done)
+        while b - a >= least:
+            m = min(b - a, LONG_COPY)
+            starts.append(a)
+            lengths.append(m)
+            backs.append(d)
+            a += m
+            done = a
+    return np.array(starts, np.int64), np.array(lengths, np.int64), np.array(backs, np.int64)
+
+
 def do_predictor(argb: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
     c = _channels(argb).astype(np.int64)
     height, width = argb.shape
@@ -557,10 +798,12 @@ def do_predictor(argb: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
     out[0, 0] -= (255, 0, 0, 0)
     out[0, 1:] -= c[0, :-1]
     out[1:, 0] -= c[:-1, 0]
-    for y in range(1, height):
-        for x in range(1, width):
-            right = c[y - 1, x + 1] if x + 1 < width else c[y, 0]
-            out[y, x] -= _predicted(int(modes[y >> tile, x >> tile]) >> 8 & 15, c[y, x - 1], c[y - 1, x], c[y - 1, x - 1], right)
+    left, top, corner = c[1:, :-1], c[:-1, 1:], c[:-1, :-1]
+    right = np.concatenate([c[:-1, 2:], c[1:, :1]], axis=1)  # past the last column: the next row's first pixel
+    of = (_spread(modes, tile, height, width) >> np.uint32(8) & np.uint32(15))[1:, 1:]
+    for mode in np.unique(of).tolist():
+        some = of == mode
+        out[1:, 1:][some] -= _predicted(mode, left[some], top[some], corner[some], right[some])
     return _joined(out & 255)
 
 
@@ -597,23 +840,81 @@ def encode(pixels: np.ndarray, *, palette: bool = False, subtract: bool = False,
         argb = (index.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
     sink.put(0, 1)
     write_pixels(sink, argb, top=True, **how)
-    body = b"\x2f" + sink.bytes()
-    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+    return _file(sink)
+
+
+def _entropy(planes: np.ndarray) -> float:
+    """Bits of all symbols under their own plane's frequencies; planes: (samples, planes)."""
+    k = planes.shape[1]
+    counts = np.bincount((planes + np.arange(0, 256 * k, 256)).ravel(), minlength=256 * k)
+    some = counts[counts > 0].astype(np.float64)
+    n = len(planes)
+    return float(k * n * np.log2(n) - some @ np.log2(some))
+
+
+def _rgb_form(rows: np.ndarray) -> tuple[float, dict]:
+    """The least entropy of RGB pixels, as they are or under a transform, and the options of ``encode`` for it."""
+    flat = rows.reshape(-1, 3)
+    best, how = _entropy(flat), {}
+    less = flat.copy()
+    less[:, 0] -= flat[:, 1]
+    less[:, 2] -= flat[:, 1]
+    if (bits := _entropy(less)) < best:
+        best, how = bits, {"subtract": True}
+    left = np.diff(flat, axis=0, prepend=np.zeros((1, 3), np.uint8))
+    if (bits := _entropy(left)) < best:
+        tiles = np.full((-(-len(rows) >> 9), 1), 1 << 8 | 0xFF << 24, np.uint32)
+        best, how = bits, {"predictor": tiles, "tile": 9}
+    return best, how
 
 
 def to_media(payload: bytes) -> bytes:
-    """Files of 64 RGB pixels a row that hold the payload, a multiple of 192 bytes."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(encode(rows[k : k + ROWS]) for k in range(0, len(rows), ROWS))
+    """Files that hold the payload, a multiple of 192 bytes, each in the form that its entropy makes smaller."""
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    files = []
+    for k in range(0, len(samples), ROWS):
+        some = samples[k : k + ROWS]
+        bits, how = _rgb_form(some.reshape(-1, WIDTH, 3))
+        if bits + RGB_HEAD < RGB_SHARE * _entropy(some.reshape(-1, 1)):
+            files.append(encode(some.reshape(-1, WIDTH, 3), flat=False, copies=True, cache_bits=RGB_CACHE, **how))
+        else:
+            files.append(encode_samples(some))
+    return b"".join(files)
+
+
+def encode_samples(samples: np.ndarray) -> bytes:
+    """A WebP file of one sample a pixel, kept in green, under a palette of the samples that occur."""
+    height, width = samples.shape
+    sink = Sink()
+    sink.put(width - 1 | height - 1 << 14, 32)
+    used = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    place = np.zeros(256, np.uint32)
+    place[used] = np.arange(len(used))
+    sink.put(1 | PALETTE << 1 | len(used) - 1 << 3, 11)
+    table = np.diff(used, prepend=0).astype(np.uint32) << np.uint32(8)
+    table[0] |= np.uint32(0xFF000000)
+    write_pixels(sink, table[None])
+    index = place[samples]
+    if many := _bundle(len(used)):
+        index = (index.reshape(height, -1, 1 << many) << (np.arange(1 << many, dtype=np.uint32) * np.uint32(8 >> many))).sum(-1, dtype=np.uint32)
+    sink.put(0, 1)
+    write_pixels(sink, index << np.uint32(8) | np.uint32(0xFF000000), top=True, flat=False, copies=True)
+    return _file(sink)
+
+
+def _file(sink: Sink) -> bytes:
+    body = b"\x2f" + sink.bytes()
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
 def from_media(media: bytes) -> np.ndarray:
-    """The RGB rows of files one after another."""
+    """The RGB rows (height, 64, 3) of the samples in files one after another."""
     parts, at = [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        parts.append(decode(media[at : at + size])[..., :3])
+        pixels = decode(media[at : at + size])
+        parts.append(pixels[..., 1].reshape(-1, WIDTH, 3) if pixels.shape[1] == UNIT else pixels[..., :3])
         at += size
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
