@@ -36,9 +36,9 @@ from .common import text_batches
 
 WIDTH, ROWS, UNIT = 64, 16384, 192
 #: Bits of the step table, symbols that a step may give, bits of a stream that are looked at together.
-STEP_BITS, STEP_SYMBOLS, STRETCH = 12, 4, 1 << 20
+STEP_BITS, STEP_SYMBOLS, STRETCH = 11, 3, 1 << 20
 #: Pixels that a copy must have at least (palette indices, other pixels) and at most; the longest Huffman code.
-SHORT_COPY, SHORT_RGB, LONG_COPY, DEEPEST = 16, 3, 4096, 12
+SHORT_COPY, SHORT_RGB, LONG_COPY, DEEPEST = 16, 3, 4096, 11
 #: Colour cache of RGB files; bits that their further codes cost, and the share of a palette's entropy that
 #: RGB must beat, since copies of single samples are found under a palette only.
 RGB_CACHE, RGB_HEAD, RGB_SHARE = 6, 1000, 0.9
@@ -106,10 +106,13 @@ class Prefix:
         used = [s for s, n in enumerate(lengths) if n] or [0]
         self.single = used[0] if len(used) == 1 else -1
         self.most, self.lengths = (0 if self.single >= 0 else max(lengths)), tuple(lengths)
-        #: Bits and symbols in code order, where all symbols have one length.
-        self.uniform = (self.most, np.array(used)) if self.single >= 0 or len(used) == 1 << self.most else None
+        self.used = used
         self.table: memoryview | None = None
 
+    def uniform(self) -> tuple[int, np.ndarray] | None:
+        """Bits and symbols in code order, where all symbols have one length."""
+        return (self.most, np.array(self.used)) if self.single >= 0 or len(self.used) == 1 << self.most else None
+
     def build(self) -> memoryview:
         """Bits << 16 | symbol, for each value of the longest code's bits."""
         if sum(1 << (self.most - x) for x in self.lengths if x) != 1 << self.most:
@@ -134,32 +137,53 @@ def _prefix(lengths: tuple[int, ...]) -> Prefix:
     return Prefix(list(lengths))
 
 
+@lru_cache(1 << 12)
+def _simple(size: int, *symbols: int) -> Prefix:
+    """A code of one or two symbols, all of one bit."""
+    return Prefix([int(s in symbols) for s in range(size)])
+
+
 def read_prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Prefix(lengths)
+        first = bits.read(8 if wide else 1)
+        return _simple(size, first, bits.read(8)) if two else _simple(size, first)
+    lengths = [0] * size
     of = [0] * 19
     for k in range(4 + bits.read(4)):
         of[CODE_ORDER[k]] = bits.read(3)
     code = _prefix(tuple(of))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    if code.single < 0 and code.table is None:
+        code.build()
+    at, last, begin = 0, 8, bits.at
+    x = int.from_bytes(bits.data[begin >> 3 : (begin >> 3) + size * 14 // 8 + 2], "little") >> (begin & 7)
+    took, mask, table, single = 0, (1 << code.most) - 1, code.table, code.single
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        if single < 0:
+            s = table[x & mask]
+            n = s >> 16
+            s &= 65535
+            x >>= n
+            took += n
+        else:
+            s = single
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+            extra, least = (2, 3) if s == 16 else (3, 3) if s == 17 else (7, 11)
+            n = least + (x & (1 << extra) - 1)
+            x >>= extra
+            took += extra
             if s == 16:
                 lengths[at : at + n] = [last] * min(n, size - at)
             at += n
+    bits.at = begin + took
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
     return Prefix(lengths)
 
 
@@ -199,7 +223,7 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool = False) -> np.nd
         green, red, blue, alpha, far = codes[0]
         rest = red.single << 16 | blue.single | alpha.single << 24
         return (_one_channel(bits, green, far, n, width).astype(np.uint32) << np.uint32(8) | np.uint32(rest)).reshape(height, width)
-    parts = [c.uniform for c in codes[0][:4]]
+    parts = [c.uniform() for c in codes[0][:4]]
     if groups == 1 and all(parts) and parts[0][1].max() < 256:
         return _fixed_width(bits, parts, n).reshape(height, width)
 
@@ -242,26 +266,27 @@ def _step_table(code: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     No bits are taken where the next symbol is a copy or needs more bits.
     """
     size = 1 << STEP_BITS
-    first = np.full(size, 99 << 8, np.int32)  # bits << 8 | literal
+    symbol, length = np.zeros(size, np.uint8), np.full(size, 99, np.uint8)
     for s, c in canonical_pairs(code.lengths):
         n = code.lengths[s]
         if n <= STEP_BITS and s < 256:
-            first[c :: 1 << n] = n << 8 | s
-    at, taken, alive = np.arange(size), np.zeros(size, np.int32), np.ones(size, bool)
-    given, symbols = np.zeros(size, np.uint8), np.zeros((size, STEP_SYMBOLS), np.uint8)
-    for k in range(STEP_SYMBOLS):
-        x = first[at]
-        step = x >> 8
-        alive &= taken + step <= STEP_BITS
-        symbols[:, k] = x & 255
+            symbol[c :: 1 << n] = s
+            length[c :: 1 << n] = n
+    symbols = np.zeros((size, STEP_SYMBOLS), np.uint8)
+    symbols[:, 0] = symbol
+    given = (length <= STEP_BITS).astype(np.uint8)
+    taken = length * given
+    for k in range(1, STEP_SYMBOLS):
+        at = np.arange(size) >> taken
+        more = taken + length[at]
+        alive = (more <= STEP_BITS) & (given == k)
+        symbols[:, k] = symbol[at]
         given += alive
-        step *= alive
-        taken += step
-        at >>= step
-    return taken.astype(np.uint8), given, symbols
+        taken = np.where(alive, more, taken)
+    return taken, given, symbols
 
 
-_PLACES = np.arange(STEP_SYMBOLS)
+_PLACES, _SHIFTS = np.arange(STEP_SYMBOLS), np.arange(8, dtype=np.uint32)
 
 
 def _one_channel(bits: Bits, green: Prefix, far: Prefix, n: int, width: int) -> np.ndarray:
@@ -285,30 +310,29 @@ def _one_channel(bits: Bits, green: Prefix, far: Prefix, n: int, width: int) ->
         size = min(STRETCH, 16 * (n - len(out)) + 64) >> 3
         some = data[first : first + size + 2].astype(np.uint32)
         joined = some[:-2] | some[1:-1] << np.uint32(8) | some[2:] << np.uint32(16)
-        values = (joined[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32((1 << STEP_BITS) - 1)
+        values = ((joined[:, None] >> _SHIFTS) & np.uint32((1 << STEP_BITS) - 1)).ravel()
         steps, ends, base = taken[values].tobytes(), min(len(values), last - 8 * first), 8 * first
-        q = p - base
-        starts: list[int] = []
-        events: list[tuple[int, int, int, int]] = []  # steps before, pixels, distance (0: a literal), place behind
-        add = starts.append
+        q, step_at = p - base, bytearray(len(values))
+        events: list[tuple[int, int, int, int]] = []  # place, pixels, distance (0: a literal), place behind
         while q < ends:
             while q < ends and (k := steps[q]):
-                add(q)
+                step_at[q] = 1
                 q += k
             if q < ends:
                 bits.at = base + q
                 s = green.read(bits)
                 if s < 256:
-                    events.append((len(starts), s, 0, bits.at))
+                    events.append((q, s, 0, bits.at))
                 else:
                     many = _extended(bits, s - 256)
-                    events.append((len(starts), many, _extended(bits, far.read(bits)), bits.at))
+                    events.append((q, many, _extended(bits, far.read(bits)), bits.at))
                 q = bits.at - base
+        starts = np.flatnonzero(np.frombuffer(step_at, np.uint8))
         v = values[starts]
         many = given[v]
         found = symbols[v][many[:, None] > _PLACES].tobytes()
         sums = np.cumsum(many, dtype=np.int64)
-        behind = np.append(0, sums)[[e[0] for e in events]].tolist() if events else []
+        behind = np.append(0, sums)[np.searchsorted(starts, [e[0] for e in events])].tolist() if events else []
         done, finish = 0, -1
         for (_, pixels, code, place), upto in zip(events, behind, strict=True):
             out += found[done:upto]
@@ -336,7 +360,7 @@ def _one_channel(bits: Bits, green: Prefix, far: Prefix, n: int, width: int) ->
             del out[n:]
             j = int(np.searchsorted(sums, done))
             inside = symbols[v[j]][: done - int(sums[j]) + int(many[j])]
-            finish = base + starts[j] + sum(green.lengths[s] for s in inside.tolist())
+            finish = base + int(starts[j]) + sum(green.lengths[s] for s in inside.tolist())
         p = finish if finish >= 0 else base + q
     bits.at = p
     if len(out) < n or p > last:
@@ -529,26 +553,18 @@ class Sink:
         self.parts.append(bits)
 
     def fields(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Values of 14 bits at most, one after another; four of them fill a word."""
-        fill = -len(values) % 4
-        v = np.append(values, np.zeros(fill, np.uint64)).astype(np.uint64).reshape(-1, 4)
-        n = np.append(sizes, np.zeros(fill, np.int64)).astype(np.uint64).reshape(-1, 4)
-        ends = np.cumsum(n, axis=1)
-        words = v[:, 0] | v[:, 1] << ends[:, 0] | v[:, 2] << ends[:, 1] | v[:, 3] << ends[:, 2]
-        at = np.cumsum(ends[:, 3]) - ends[:, 3]
-        total = int(at[-1] + ends[-1, 3]) if len(at) else 0
-        words <<= at & np.uint64(7)
-        first = (at >> np.uint64(3)).astype(np.int64)
-        some = np.zeros((total >> 3) + 9)
-        for k in range(8):  # bits of different words never meet, so sums are unions
-            some += np.bincount(first + k, weights=(words >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64), minlength=len(some))
-        self.rows(np.unpackbits(some.astype(np.uint8), bitorder="little")[:total])
+        """Values of 16 bits at most, one after another."""
+        some = np.unpackbits(values.astype("<u2").view(np.uint8), bitorder="little").reshape(-1, 16)
+        self.rows(some[_BITS < sizes.astype(np.uint8)[:, None]])
 
     def bytes(self) -> bytes:
         self.flush()
         return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
 
 
+_BITS = np.arange(16, dtype=np.uint8)
+
+
 def flat_lengths(used: np.ndarray, size: int) -> np.ndarray:
     """Code lengths with all symbols alike: unused symbols fill up to a power of two."""
     lengths = np.zeros(size, np.int64)
@@ -617,24 +633,19 @@ def write_prefix(sink: Sink, lengths: np.ndarray) -> None:
         of[s] = deep - (1 if len(kinds) > 1 and k < (1 << deep) - len(kinds) else 0)
     code = canonical(tuple(of))
     stored = max(max(k for k, s in enumerate(CODE_ORDER) if of[s]) + 1, 4)
-    sink.put(0, 1)
-    sink.put(stored - 4, 4)
+    value, n = stored - 4 << 1, 5
     for s in CODE_ORDER[:stored]:
-        sink.put(of[s], 3)
-    sink.put(0, 1)
-    for s, extra, n in tokens:
-        if len(kinds) > 1:
-            sink.put(code[s], of[s])
-        sink.put(extra, n)
-
-
-def _symbol(value: int) -> tuple[int, int, int]:
-    """Symbol, extra value and extra bits of a length or distance."""
-    v = value - 1
-    if v < 4:
-        return v, 0, 0
-    extra = v.bit_length() - 2
-    return 2 * (extra + 1) + (v >> extra & 1), v & ((1 << extra) - 1), extra
+        value |= of[s] << n
+        n += 3
+    n += 1
+    many = len(kinds) > 1
+    for s, extra, size in tokens:
+        if many:
+            value |= code[s] << n
+            n += of[s]
+        value |= extra << n
+        n += size
+    sink.put(value, n)
 
 
 def write_pixels(sink: Sink, argb: np.ndarray, top: bool = False, flat: bool = True, cache_bits: int = 0, copies: bool = False) -> None:
@@ -666,7 +677,7 @@ def write_pixels(sink: Sink, argb: np.ndarray, top: bool = False, flat: bool = T
         return
     pixels = np.ascontiguousarray(argb).ravel()
     n = len(pixels)
-    starts, lengths, backs = _copies(pixels, all(not plane.any() for plane in (planes[1], planes[2]))) if copies else (np.zeros(0, np.int64),) * 3
+    starts, lengths, backs = _copies(pixels) if copies else (np.zeros(0, np.int64),) * 3
     plain = np.zeros(n + 1, np.int64)
     np.add.at(plain, starts, 1)
     np.add.at(plain, starts + lengths, -1)
@@ -752,16 +763,16 @@ def _cache_hits(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     return (before >= 0) & (pixels[before] == pixels)
 
 
-def _copies(pixels: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of copies, left to right, none over another; narrow: pixels differ in green alone."""
+def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies, left to right, none over another; pixels: 32 bits, or samples of 8."""
+    narrow = pixels.dtype == np.uint8
     least, window = (SHORT_COPY, 8) if narrow else (SHORT_RGB, SHORT_RGB)
     none = (np.zeros(0, np.int64),) * 3
     n = len(pixels) - window + 1
     if n < 2:
         return none
     if narrow:
-        samples = (pixels >> np.uint32(8)).astype(np.uint8)
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(samples, 8)).view(np.uint64).ravel()
+        keys = np.ascontiguousarray(np.lib.stride_tricks.as_strided(pixels, (n, 8), (1, 1))).view(np.uint64).ravel()
     else:
         p = pixels.astype(np.uint64)
         keys = p[:n] * np.uint64(0xD6E8FEB86659FD93) ^ p[1 : n + 1] * np.uint64(0xA0761D6478BD642F) ^ p[2 : n + 2] << np.uint64(29)
@@ -846,7 +857,9 @@ def encode(pixels: np.ndarray, *, palette: bool = False, subtract: bool = False,
 def _entropy(planes: np.ndarray) -> float:
     """Bits of all symbols under their own plane's frequencies; planes: (samples, planes)."""
     k = planes.shape[1]
-    counts = np.bincount((planes + np.arange(0, 256 * k, 256)).ravel(), minlength=256 * k)
+    if k > 1:
+        planes = planes + np.arange(0, 256 * k, 256, dtype=np.uint16)
+    counts = np.bincount(planes.ravel())
     some = counts[counts > 0].astype(np.float64)
     n = len(planes)
     return float(k * n * np.log2(n) - some @ np.log2(some))
@@ -856,15 +869,19 @@ def _rgb_form(rows: np.ndarray) -> tuple[float, dict]:
     """The least entropy of RGB pixels, as they are or under a transform, and the options of ``encode`` for it."""
     flat = rows.reshape(-1, 3)
     best, how = _entropy(flat), {}
-    less = flat.copy()
-    less[:, 0] -= flat[:, 1]
-    less[:, 2] -= flat[:, 1]
-    if (bits := _entropy(less)) < best:
-        best, how = bits, {"subtract": True}
-    left = np.diff(flat, axis=0, prepend=np.zeros((1, 3), np.uint8))
-    if (bits := _entropy(left)) < best:
-        tiles = np.full((-(-len(rows) >> 9), 1), 1 << 8 | 0xFF << 24, np.uint32)
-        best, how = bits, {"predictor": tiles, "tile": 9}
+    red, green = flat[:, :1], flat[:, 1:2]
+    first = _entropy(red)
+    if _entropy(red - green) < first:  # worth a look at all channels
+        less = flat.copy()
+        less[:, 0] -= flat[:, 1]
+        less[:, 2] -= flat[:, 1]
+        if (bits := _entropy(less)) < best:
+            best, how = bits, {"subtract": True}
+    if _entropy(red[1:] - red[:-1]) < first:
+        left = np.diff(flat, axis=0, prepend=np.zeros((1, 3), np.uint8))
+        if (bits := _entropy(left)) < best:
+            tiles = np.full((-(-len(rows) >> 9), 1), 1 << 8 | 0xFF << 24, np.uint32)
+            best, how = bits, {"predictor": tiles, "tile": 9}
     return best, how
 
 
@@ -882,26 +899,95 @@ def to_media(payload: bytes) -> bytes:
     return b"".join(files)
 
 
+def _put_single(sink: Sink, symbol: int) -> None:
+    """A prefix code of one symbol."""
+    sink.put(0b101 | symbol << 3, 11)
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
     """A WebP file of one sample a pixel, kept in green, under a palette of the samples that occur."""
     height, width = samples.shape
     sink = Sink()
     sink.put(width - 1 | height - 1 << 14, 32)
     used = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
-    place = np.zeros(256, np.uint32)
-    place[used] = np.arange(len(used))
-    sink.put(1 | PALETTE << 1 | len(used) - 1 << 3, 11)
-    table = np.diff(used, prepend=0).astype(np.uint32) << np.uint32(8)
-    table[0] |= np.uint32(0xFF000000)
-    write_pixels(sink, table[None])
-    index = place[samples]
-    if many := _bundle(len(used)):
-        index = (index.reshape(height, -1, 1 << many) << (np.arange(1 << many, dtype=np.uint32) * np.uint32(8 >> many))).sum(-1, dtype=np.uint32)
+    n = len(used)
+    sink.put(1 | PALETTE << 1 | n - 1 << 3, 11)
+    steps = np.diff(used, prepend=0)  # colours are stored as differences, the first one opaque
+    lengths = huffman_lengths(np.bincount(steps, minlength=256 + LENGTHS), DEEPEST)
     sink.put(0, 1)
-    write_pixels(sink, index << np.uint32(8) | np.uint32(0xFF000000), top=True, flat=False, copies=True)
+    write_prefix(sink, lengths)
+    _put_single(sink, 0)
+    _put_single(sink, 0)
+    write_prefix(sink, np.bincount([255, 0][: min(n, 2)], minlength=256))
+    _put_single(sink, 0)
+    code, size = dict(canonical_pairs(tuple(lengths.tolist()))), lengths.tolist()
+    bits = int(np.count_nonzero(lengths) > 1)
+    value, at = 0, 0
+    for k, step in enumerate(steps.tolist()):
+        if bits:
+            value |= code[step] << at
+            at += size[step]
+        if n > 1:
+            value |= (not k) << at  # opaque, and no difference
+            at += 1
+    sink.put(value, at + 1)  # no more transforms
+
+    place = np.zeros(256, np.uint8)
+    place[used] = np.arange(n)
+    index = place[samples]
+    if many := _bundle(n):
+        wide = index.reshape(height, -1, 1 << many).astype(np.int64)
+        index = (wide << (np.arange(1 << many) * (8 >> many))).sum(-1).astype(np.uint8)
+    _write_samples(sink, index)
     return _file(sink)
 
 
+def _write_samples(sink: Sink, index: np.ndarray) -> None:
+    """The top image of samples in green: Huffman codes and copies.
+
+    A copy is at least as long as it has fields, so that they take its pixels' places.
+    """
+    flat = index.ravel()
+    starts, lengths, backs = _copies(flat)
+    counts, far = np.bincount(flat, minlength=256 + LENGTHS), np.zeros(40, np.int64)
+    if len(starts):
+        size_codes, size_extra, size_bits = _symbols(lengths)
+        table = _near(index.shape[1])
+        near = table[np.minimum(backs, len(table) - 1)]
+        back_codes, back_extra, back_bits = _symbols(np.where(near > 0, near, backs + len(NEAR)))
+        covered = np.zeros(len(flat), bool)
+        for a, m in zip(starts.tolist(), lengths.tolist(), strict=True):
+            covered[a : a + m] = True
+        counts -= np.bincount(flat[covered], minlength=len(counts))
+        counts += np.bincount(256 + size_codes, minlength=len(counts))
+        far = huffman_lengths(np.bincount(back_codes, minlength=40), DEEPEST)
+    bits = huffman_lengths(counts, DEEPEST)
+    sink.put(0, 2)  # no cache, no groups
+    write_prefix(sink, bits)
+    _put_single(sink, 0)
+    _put_single(sink, 0)
+    _put_single(sink, 255)
+    write_prefix(sink, far)
+    if np.count_nonzero(bits) < 2:
+        return
+    codes = np.array(canonical(tuple(bits.tolist())), np.uint64)
+    values, sizes = codes[flat], bits[flat]
+    if len(starts):
+        values[covered] = sizes[covered] = 0
+        far_codes = np.array(canonical(tuple(far.tolist())), np.int64)
+        far_bits = far if np.count_nonzero(far) > 1 else np.zeros_like(far)
+        fields = (
+            (codes[256 + size_codes], bits[256 + size_codes]),
+            (size_extra, size_bits),
+            (far_codes[back_codes] * (far_bits[back_codes] > 0), far_bits[back_codes]),
+            (back_extra & 1023, np.minimum(back_bits, 10)),
+            (back_extra >> 10, np.maximum(back_bits - 10, 0)),
+        )
+        for k, (value, size) in enumerate(fields):
+            values[starts + k], sizes[starts + k] = value, size
+    sink.fields(values, sizes)
+
+
 def _file(sink: Sink) -> bytes:
     body = b"\x2f" + sink.bytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
