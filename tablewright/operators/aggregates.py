@@ -38,3 +38,11 @@ def group_by(df: DataFrame, definition: TableDef, key: str, where: SparkColumn |
     definition.column(key)
     rows = df if where is None else df.filter(where)
     return rows.groupBy(F.col(f"`{key}`")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def group_rows(df: DataFrame, definition: TableDef, key: str, where: SparkColumn | None = None) -> DataFrame:
+    """All rows in order of the key, null first; ranges are cut within a key too, so no group is gathered in one task."""
+    definition.column(key)
+    rows = df if where is None else df.filter(where)
+    k = F.col(f"`{key}`")
+    return rows.repartitionByRange(k, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))).sortWithinPartitions(k)

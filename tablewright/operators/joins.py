@@ -69,7 +69,7 @@ def join(
     selected: list[SparkColumn] = [F.col(f"`{n}`") for n in names]
     if matched and how != "inner":
         selected.append(F.coalesce("__matched", F.lit(False)).alias("__matched"))
-    return left.made(out.select(*selected), TableDef(name or f"{l_alias}.{r_alias}", tuple(columns)))
+    return type(left)(out.select(*selected), TableDef(name or f"{l_alias}.{r_alias}", tuple(columns)))
 
 
 def underscored(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..table import Table
 class Database:
     def __init__(self) -> None:
         self.tables: dict[str, Table] = {}
+        self.views: dict[str, Callable[[Database], DataFrame]] = {}
         self._open: dict[str, Table] = {}
 
     def put(self, table: Table, name: str | None = None) -> Table:
@@ -39,8 +42,17 @@ class Database:
         keys = self[target].df.select(F.col(f"`{referenced}`").alias("__key"))
         return table.df.filter(F.col(f"`{column}`").isNotNull()).join(keys, F.col(f"`{column}`") == F.col("__key"), "left_anti")
 
-    def view(self, name: str, df: DataFrame) -> None:
+    def view(self, name: str, build: Callable[[Database], DataFrame]) -> None:
+        """A named builder; nothing is built before the view is read."""
+        self.views[name] = build
+
+    def read_view(self, name: str) -> DataFrame:
+        """The view over the tables as they are now, also as a temporary view of Spark for SQL."""
+        if name not in self.views:
+            raise TableError(f"View '{name}' not found")
+        df = self.views[name](self)
         df.createOrReplaceTempView(name)
+        return df
 
     def begin(self, name: str) -> None:
         """Remember a table as it is, data and definition; plans are immutable, so nothing is copied."""

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Predicate, col
-from ..functions.values import Kind, displayed
+from ..functions.values import Kind, displayed, fits
 from ..operators import constraints, joins
 from ..operators.constraints import ORDINAL
-from ..schema import Column, TableDef
+from ..schema import Column, TableDef, TableError
+from ..scratch import new_path
 from ..sources import storage
 from ..table import Table
 from .catalog import Database
@@ -41,19 +42,6 @@ def with_nulls(t: Table, **columns: object) -> Table:
     return Table(t.df.withColumns({c: F.nullif(F.col(c), F.lit(v).cast(t.df.schema[c].dataType)) for c, v in columns.items()}), t.definition)
 
 
-def out_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the cluster, or a local one where none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # Scans and filters
 
 
@@ -214,6 +202,12 @@ def group_by_rows(spark, sf_dir):
     return table(spark, sf_dir, "orders").group_by("o_orderstatus")
 
 
+@query("SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
+def group_by_all_rows(spark, sf_dir):
+    t = table(spark, sf_dir, "orders")
+    return t.group_rows("o_orderstatus", col("o_totalprice") > 1000.0).select("o_orderstatus", "o_orderkey", "o_totalprice")
+
+
 def _aggregate(spark, sf_dir, func: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").aggregate("l_returnflag", "l_quantity", func)
 
@@ -364,15 +358,49 @@ def violations_set(spark, sf_dir):
     return _broken(spark, t, "p_partkey", Column("p_type", Kind.SET, allowed=("STANDARD", "SMALL", "PROMO")))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_nationkey, n_regionkey + n_nationkey % 7 AS k FROM nation WHERE n_regionkey + n_nationkey % 7 NOT IN (SELECT r_regionkey FROM region)")
 def fk_validation(spark, sf_dir):
     db = Database()
-    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    db.put(region)
-    db.put(_declared(nation, Column("n_nationkey", Kind.INT), Column("n_name", Kind.VARCHAR), Column("n_regionkey", Kind.INT, foreign_key="region")))
+    db.put(table(spark, sf_dir, "region"))
+    nation = table(spark, sf_dir, "nation").df.select("n_nationkey", (F.col("n_regionkey") + F.col("n_nationkey") % 7).alias("k"))
+    db.put(_declared(Table.of("nation", nation), Column("n_nationkey", Kind.INT), Column("k", Kind.INT, foreign_key="region")))
     db.validate_foreign_keys()
-    kept = db["nation"].df.join(db.orphans("nation", "n_regionkey", "r_regionkey").select("n_nationkey"), "n_nationkey", "left_anti")
-    return kept.join(region.df, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    return db.orphans("nation", "k", "r_regionkey")
+
+
+#: Definitions that break a rule: table name, columns, primary key.
+BROKEN = {
+    "twice": ([Column("id", Kind.INT), Column("id", Kind.INT)], ()),
+    "no key": ([Column("id", Kind.INT)], ("not_id",)),
+    "null default": ([Column("id", Kind.INT, not_null=True, default=None)], ()),
+    "counted text": ([Column("id", Kind.VARCHAR, not_null=True, autoincrement=True)], ()),
+    "counted nulls": ([Column("id", Kind.INT, autoincrement=True)], ()),
+    "other member": ([Column("e", Kind.ENUM, allowed=("a",), default="b")], ()),
+    "other members": ([Column("s", Kind.SET, allowed=("a",), default=("a", "b"))], ()),
+}
+
+
+@query(
+    "SELECT * FROM (VALUES ('twice', 'Duplicate column name: id'), ('no key', 'Primary key column ''not_id'' does not exist in table ''t'''), "
+    "('null default', 'Column ''id'' is NOT NULL but has a default of NULL'), ('counted text', 'AUTOINCREMENT column ''id'' must be INT or BIGINT'), "
+    "('counted nulls', 'AUTOINCREMENT column ''id'' must be NOT NULL'), ('other member', 'Default ''b'' of ENUM column ''e'' is not allowed'), "
+    "('other members', 'Default of SET column ''s'' has members that are not allowed')) v(definition, message)"
+)
+def schema_rules(spark, sf_dir):
+    found = []
+    for name, (columns, key) in BROKEN.items():
+        try:
+            Table.create(spark, "t", columns, key)
+        except TableError as e:
+            found.append((name, str(e)))
+    return spark.createDataFrame(found, "definition string, message string")
+
+
+@query("SELECT * FROM (VALUES ('Int', 5, true), ('Int', 6, false), ('Char', 1, true), ('Char', 2, false), ('Date', 3, true), ('Date', 4, false)) v(kind, literal, fits)")
+def type_compatibility(spark, sf_dir):
+    literals = {1: "x", 2: "xy", 3: dt.date(2024, 1, 1), 4: dt.datetime(2024, 1, 1), 5: 7, 6: True}
+    asked = [(Kind.INT, 5), (Kind.INT, 6), (Kind.CHAR, 1), (Kind.CHAR, 2), (Kind.DATE, 3), (Kind.DATE, 4)]
+    return spark.createDataFrame([(k.value, i, fits(literals[i], k)) for k, i in asked], "kind string, literal int, fits boolean")
 
 
 # Schema changes
@@ -406,15 +434,53 @@ def index_lookup(spark, sf_dir):
 @query("SELECT * FROM customer")
 def csv_roundtrip(spark, sf_dir):
     t = table(spark, sf_dir, "customer")
-    path = out_dir(spark, "csv")
+    path = new_path(spark, "csv")
     storage.save_csv(t, path)
     return storage.load_csv(spark, path, t.definition).df
 
 
+@query(
+    "SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_orderdate AS at, o_orderstatus AS c, o_totalprice > 1000 AS dear, string_split(o_orderpriority, '-') AS parts, "
+    "strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%H:%M:%S') AS h, nullif(o_orderstatus, 'F') AS s FROM orders"
+)
+def csv_types_roundtrip(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").df
+    at = F.col("o_orderdate")
+    time = F.to_time(F.date_format(at + F.make_dt_interval(secs=F.col("o_orderkey") % 86400), "HH:mm:ss"))
+    df = orders.select(
+        F.col("o_orderkey").alias("id"),
+        at.cast("date").alias("day"),
+        at.alias("at"),
+        F.col("o_orderstatus").alias("c"),
+        (F.col("o_totalprice") > 1000).alias("dear"),
+        F.split("o_orderpriority", "-").alias("parts"),
+        time.alias("h"),
+        F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s"),
+    )
+    kinds = [Kind.BIGINT, Kind.DATE, Kind.DATETIME, Kind.CHAR, Kind.BOOLEAN, Kind.SET, Kind.TIME, Kind.ENUM]
+    allowed = {"parts": ("1", "URGENT"), "s": ("O", "P")}
+    t = Table(df, TableDef("typed", tuple(Column(n, k, allowed=allowed.get(n, ())) for n, k in zip(df.columns, kinds, strict=True))))
+    path = new_path(spark, "csv")
+    storage.save_csv(t, path)
+    return storage.load_csv(spark, path, t.definition).df.withColumn("h", F.col("h").cast("string"))
+
+
+@query("SELECT n_name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 AND n_nationkey <> 7 GROUP BY 1")
+def lazy_view(spark, sf_dir):
+    db = Database()
+    db.put(table(spark, sf_dir, "nation"))
+    db.put(table(spark, sf_dir, "customer"))
+    joined = [("c_nationkey", "n_nationkey")]
+    db.view("poor", lambda d: d["customer"].join(d["nation"], joined, where=lambda c, n: c("c_acctbal") < 0).df.select(F.col("`nation.n_name`").alias("n_name")))
+    db.put(db["nation"].delete_where(col("n_nationkey") == 7))  # after the view was named
+    db.read_view("poor")
+    return spark.sql("SELECT n_name, count(*) AS n FROM poor GROUP BY n_name")
+
+
 @query("SELECT doc_id, text, nullif(lang, 'en') AS lang, source, n_chars FROM documents")
 def view_roundtrip(spark, sf_dir):
     t = with_nulls(table(spark, sf_dir, "documents"), lang="en")
-    folder = out_dir(spark, "views")
+    folder = new_path(spark, "views")
     storage.save_view(t, folder, "db", "texts")
     return storage.load_view(spark, folder, "db", "texts", t.definition).df
 
@@ -422,7 +488,7 @@ def view_roundtrip(spark, sf_dir):
 @query("SELECT n_name AS nation_n_name, r_name AS region_r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 10")
 def join_view_roundtrip(spark, sf_dir):
     j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), [("n_regionkey", "r_regionkey")], where=lambda n, r: n("n_nationkey") > 10)
-    folder = out_dir(spark, "views")
+    folder = new_path(spark, "views")
     storage.save_view(j, folder, "db", "places", aliases=("nation", "region"))
     back = storage.load_view(spark, folder, "db", "nation.region.places", j.definition)
     return joins.underscored(back.df).select("nation_n_name", "region_r_name")
@@ -431,7 +497,7 @@ def join_view_roundtrip(spark, sf_dir):
 @query("SELECT * FROM orders")
 def parquet_roundtrip(spark, sf_dir):
     t = table(spark, sf_dir, "orders")
-    path = out_dir(spark, "parquet")
+    path = new_path(spark, "parquet")
     storage.save_parquet(t, path)
     return storage.load_parquet(spark, path, t.definition).df
 

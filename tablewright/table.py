@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column as SparkColumn
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.predicates import Predicate
-from .functions.values import SPARK_TYPES, fits, literal, shown
-from .operators import aggregates, constraints, joins
+from .functions.values import SPARK_TYPES, displayed, fits, literal, shown
+from .operators import aggregates, console, constraints, joins
 from .operators.constraints import ORDINAL
 from .schema import NO_DEFAULT, Column, TableDef, TableError
+from .scratch import settle
 
 Condition = Predicate | SparkColumn
+#: Runs of ordinals in which generated ids are counted, at most and besides one a partition.
+RUNS = 65_536
 
 
 @dataclass(frozen=True)
@@ -40,9 +44,6 @@ class Table:
         """Existing data, its types taken from the DataFrame and not checked."""
         return cls(df, TableDef.of(name, df.schema, tuple(primary_key)).validate())
 
-    def made(self, df: DataFrame, definition: TableDef) -> Table:
-        return Table(df, definition)
-
     # Queries
 
     def condition(self, where: Condition) -> SparkColumn:
@@ -57,6 +58,10 @@ class Table:
     def group_by(self, key: str, where: Condition | None = None) -> DataFrame:
         return aggregates.group_by(self.df, self.definition, key, None if where is None else self.condition(where))
 
+    def group_rows(self, key: str, where: Condition | None = None) -> DataFrame:
+        """All rows, sorted by the key and dealt so that a large group reaches over several partitions."""
+        return aggregates.group_rows(self.df, self.definition, key, None if where is None else self.condition(where))
+
     def group(self, key: str, value: Any) -> DataFrame:
         """The rows of one group."""
         return self.select_where(Predicate(key, "==", value))
@@ -95,7 +100,8 @@ class Table:
         A generated id is one more than the largest value before it, as if rows
         came one by one: nulls so far + the largest of (earlier explicit value -
         nulls up to it) and of the table's maximum. Nulls and values are first
-        counted in runs of ordinals, so no window holds more than one run.
+        counted in runs of ordinals: no window holds more than one run, or the
+        sums of all runs, of which there are at most ``RUNS`` and one a partition.
         """
         for c in self.definition.columns:
             x = F.col(f"`{c.name}`")
@@ -103,15 +109,19 @@ class Table:
                 new = new.withColumn(c.name, F.coalesce(x, literal(c.default, c.kind)))
             elif c.autoincrement:
                 base = self.df.agg(F.greatest(F.lit(0), F.coalesce(F.max(x), F.lit(0)))).first()[0]
-                run = F.floor(F.col(ORDINAL) / 10_000)
+                run = F.floor(F.col(ORDINAL) / max(10_000, -(-new.count() // RUNS)))
                 before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
                 within = Window.partitionBy("__run").orderBy(ORDINAL)
-                rows = new.withColumn("__run", run).withColumn("__k", F.count_if(x.isNull()).over(within)).withColumn("__m", F.max(x.cast("long") - F.col("__k")).over(within))
+                least = F.lit(base).cast("long")
+                rows = new.withColumn("__run", run).withColumn("__k", F.count_if(x.isNull()).over(within))
+                rows = rows.withColumn("__m", F.max(x.cast("long") - F.col("__k")).over(within))
                 runs = rows.groupBy("__run").agg(F.max("__k").alias("__kn"), F.max("__m").alias("__mn"))
                 runs = runs.withColumn("__k0", F.coalesce(F.sum("__kn").over(before), F.lit(0)))
-                runs = runs.withColumn("__m0", F.coalesce(F.max(F.col("__mn") - F.col("__k0")).over(before), F.lit(base).cast("long"))).select("__run", "__k0", "__m0")
+                earlier = F.max(F.col("__mn") - F.col("__k0")).over(before)
+                runs = runs.withColumn("__m0", F.coalesce(earlier, least)).select("__run", "__k0", "__m0")
                 rows = rows.join(runs, "__run")
-                value = F.col("__k0") + F.col("__k") + F.greatest(F.lit(base).cast("long"), F.col("__m0"), F.coalesce(F.col("__m") - F.col("__k0"), F.lit(base).cast("long")))
+                own = F.coalesce(F.col("__m") - F.col("__k0"), least)
+                value = F.col("__k0") + F.col("__k") + F.greatest(least, F.col("__m0"), own)
                 new = rows.withColumn(c.name, F.coalesce(x, value.cast(SPARK_TYPES[c.kind]))).select(new.columns)
         return new
 
@@ -135,7 +145,8 @@ class Table:
         want = {c.name: SPARK_TYPES[c.kind].simpleString() for c in self.definition.columns}
         if dict(new.dtypes) != want:
             raise TableError(f"Row does not match declared type: expected {want}, got {dict(new.dtypes)}")
-        new = self.filled(new.select(*(F.col(f"`{n}`") for n in want)).withColumn(ORDINAL, F.monotonically_increasing_id()))
+        numbered = new.select(*(F.col(f"`{n}`") for n in want)).withColumn(ORDINAL, F.monotonically_increasing_id())
+        new = self.filled(settle(numbered, "insert"))  # settled, so that checks and result see the same numbers
         if validate:
             self._raise_first(self.violations(new))
         return Table(self.df.unionByName(new.drop(ORDINAL)), self.definition)
@@ -155,17 +166,28 @@ class Table:
                 raise TableError(f"Type mismatch at column {name}: expected {kind.value}, got {shown(value)}")
         hit = F.coalesce(self.condition(where), F.lit(False))
         marked = self.df.withColumn("__hit", hit)
-        columns = [F.when(F.col("__hit"), literal(values[c.name], c.kind)).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in values else F.col(f"`{c.name}`") for c in self.definition.columns]
-        changed = marked.select(*columns, "__hit")
+
+        def changed_column(c: Column) -> SparkColumn:
+            old = F.col(f"`{c.name}`")
+            return F.when(F.col("__hit"), literal(values[c.name], c.kind)).otherwise(old).alias(c.name) if c.name in values else old
+
+        changed = marked.select(*map(changed_column, self.definition.columns), "__hit")
         rules = constraints.row_rules(self.definition.with_columns([c for c in self.definition.columns if c.name in values]))
-        for broken, message in rules:
-            if changed.filter(F.col("__hit") & broken).limit(1).count():
-                raise TableError(message)
-        for names, message in constraints.unique_keys(self.definition):
-            if set(names) & set(values):
-                groups = changed.groupBy(*(F.col(f"`{n}`") for n in names)).agg(F.count(F.lit(1)).alias("__n"), F.max("__hit").alias("__any"))
-                if groups.filter((F.col("__n") > 1) & F.col("__any")).limit(1).count():
+        if rules:  # all of them in one pass
+            some = [F.max(F.col("__hit") & broken).alias(f"r{i}") for i, (broken, _) in enumerate(rules)]
+            for broken, (_, message) in zip(changed.agg(*some).first(), rules, strict=True):
+                if broken:
                     raise TableError(message)
+        found = []
+        keys = [k for k in constraints.unique_keys(self.definition) if set(k[0]) & set(values)]
+        for i, (names, _) in enumerate(keys):
+            sums = [F.count(F.lit(1)).alias("__n"), F.max("__hit").alias("__any")]
+            groups = changed.groupBy(*(F.col(f"`{n}`") for n in names)).agg(*sums)
+            found.append(groups.filter((F.col("__n") > 1) & F.col("__any")).select(F.lit(i).alias("key")).limit(1))
+        if found:  # all keys in one job
+            broken = reduce(DataFrame.unionAll, found).agg(F.min("key")).first()[0]
+            if broken is not None:
+                raise TableError(keys[broken][1])
         return Table(changed.drop("__hit"), self.definition)
 
     def delete_where(self, where: Condition) -> Table:
@@ -214,5 +236,14 @@ class Table:
         return Table(self.df.checkpoint(), self.definition)
 
     def show(self, n: int = 20) -> None:
-        print(self.name)
-        self.df.show(n, truncate=False)
+        """Name, header and at most n rows in columns of 15 characters or more."""
+        print("\n".join(console.table_lines(self.name, *self._shown(n))))
+
+    def show_joined(self, n: int = 20) -> None:
+        """Header and at most n rows, cells parted by bars."""
+        print("\n".join(console.joined_lines(*self._shown(n))))
+
+    def _shown(self, n: int) -> tuple[list[str], list[list[str]]]:
+        columns = self.definition.columns
+        cells = self.df.select(*(displayed(F.col(f"`{c.name}`"), c.kind).alias(f"c{i}") for i, c in enumerate(columns)))
+        return self.definition.names, [list(r) for r in cells.limit(n).collect()]

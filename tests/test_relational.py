@@ -223,6 +223,13 @@ def test_catalog(spark):
     assert rows(db.put(db["orders"].insert((1,), (None,))).df) == [(1,), (None,)]
     assert rows(db.orphans("orders", "user_id", "id")) == [(1,)]
 
+    db.view("named", lambda d: d["people"].select_where(col("name") != "Bob"))
+    with pytest.raises(TableError, match="Table 'people' not found"):
+        db.read_view("named")
+    with pytest.raises(TableError, match="View 'other' not found"):
+        db.read_view("other")
+    db.put(people(spark, (1, "Alice"), (2, "Bob")))
+    assert rows(db.read_view("named")) == rows(spark.table("named")) == [(1, "Alice")]
     db.put(people(spark, (1, "Alice")))
     db.begin("people")
     with pytest.raises(TableError, match="already in progress"):
@@ -278,3 +285,59 @@ def test_checkpoint_cuts_the_plan(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     t = people(spark, (1, "Alice")).update_where(col("id") == 1, {"name": "Bella"}).checkpoint()
     assert rows(t.df) == [(1, "Bella")] and "ExistingRDD" in t.df._jdf.queryExecution().toString()
+
+
+def test_console(spark, capsys):
+    t = people(spark, (1, "Alice"), (2, None))
+    t.show()
+    assert capsys.readouterr().out == "people\nid             name\n1              Alice\n2              NULL\n"
+    t.join(people(spark, (1, "Bob")), [("id", "id")], aliases=("a", "b")).show_joined()
+    assert capsys.readouterr().out == "a.id | a.name | b.id | b.name\n1 | Alice | 1 | Bob\n"
+    t.show(0)
+    assert capsys.readouterr().out == "people\nid             name\n"
+
+
+def test_groups_keep_their_rows_in_order(spark):
+    t = Table.create(spark, "g", [Column("k", Kind.INT), Column("v", Kind.INT)]).insert(*((None if i % 3 == 0 else i % 2, i) for i in range(60)))
+    got = [tuple(r) for r in t.group_rows("k", col("v") < 50).collect()]
+    assert sorted(got, key=repr) == sorted(((None if i % 3 == 0 else i % 2, i) for i in range(50)), key=repr)
+    keys = [k for k, _ in got]
+    assert keys == [None] * keys.count(None) + [0] * keys.count(0) + [1] * keys.count(1)
+    with pytest.raises(TableError, match="not found"):
+        t.group_rows("zz")
+
+
+def test_repeats_are_found_once(spark):
+    t = Table.create(spark, "r", [Column("k", Kind.INT, unique=True), Column("v", Kind.INT)])
+    old = Table(spark.createDataFrame([(1, 0)] * 50 + [(None, 0)] * 50, t.df.schema), t.definition)
+    new = spark.createDataFrame([(0, 1, 0), (1, 5, 0), (2, 5, 0), (3, None, 0), (4, None, 0), (5, 7, 0)], "__ordinal long, k int, v int")
+    for small in (True, False):
+        assert sorted(r["__ordinal"] for r in old.violations(new, small).collect()) == [0, 2, 3, 4]
+        assert sorted(r["__ordinal"] for r in t.violations(new, small).collect()) == [2, 4]
+
+
+def test_updates_name_the_first_broken_rule(spark):
+    columns = [Column("k", Kind.INT), Column("a", Kind.VARCHAR, not_null=True), Column("b", Kind.ENUM, allowed=("x", "y")), Column("u", Kind.INT, unique=True)]
+    t = Table.create(spark, "t", columns, ("k",)).insert((1, "p", "x", 1), (2, "q", "y", 2), (3, "r", None, 3))
+    for values, message in (({"a": None, "b": "z"}, "NOT NULL"), ({"b": "z", "u": 9}, "Invalid enum"), ({"u": 9, "k": 9}, "Unique"), ({"k": 9}, "Primary key")):
+        with pytest.raises(TableError, match=message):
+            t.update_where(col("k") > 1, values)
+    assert rows(t.update_where(col("k") > 9, {"a": None}).df) == rows(t.df)
+
+
+def test_indexed_tables_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("left_side", "right_side"):
+            t = Table.of(name, spark.range(200).select((F.col("id") % 50).alias("k"), F.col("id").alias(name)))
+            with pytest.raises(TableError, match="has no index"):
+                storage.save_bucketed(t, name, 4)
+            storage.save_bucketed(t.create_index("k"), name, 4)
+        both = Table.of("l", spark.table("left_side")).join(Table.of("r", spark.table("right_side")), [("k", "k")]).df
+        plain = spark.table("left_side").join(spark.table("right_side"), "k")
+        assert both.count() == plain.count() == 800
+        assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("left_side", "right_side"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
