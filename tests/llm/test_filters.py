@@ -161,6 +161,46 @@ def test_risk_estimate_turns_when_negative():
     assert weight[0] > weight[1] and np.isfinite(weight).all() and math.isfinite(bias)
 
 
+def direct_risk(f, is_positive, prior):
+    """The risk by its definition, document by document."""
+    loss = lambda x: math.log1p(math.exp(-x))
+    p = [x for x, k in zip(f, is_positive, strict=True) if k]
+    u = [x for x, k in zip(f, is_positive, strict=True) if not k]
+    slack = sum(map(loss, (-x for x in u))) / len(u) - prior * sum(map(loss, (-x for x in p))) / len(p)
+    return prior * sum(map(loss, p)) / len(p), slack
+
+
+@pytest.mark.parametrize(("prior", "shift"), [(0.1, 0.0), (0.4, 1.0), (0.5, -2.0), (0.5, 3.0)])
+def test_risk_and_its_direction_by_definition(prior, shift):
+    rng = np.random.default_rng(2)
+    is_positive = np.arange(12) < 5
+    f = rng.normal(size=12) + np.where(is_positive, shift, -shift)
+    value, g = toxicity.risk(f, is_positive, prior)
+    first, slack = direct_risk(f, is_positive, prior)
+    assert value == pytest.approx(first + max(slack, 0.0))
+    for k in range(12):
+        d = np.zeros(12)
+        d[k] = 1e-5
+        up, down = direct_risk(f + d, is_positive, prior), direct_risk(f - d, is_positive, prior)
+        slope = (sum(up) - sum(down)) / 2e-5 if slack >= 0 else -(up[1] - down[1]) / 2e-5
+        assert g[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_negative_slack_occurs():
+    f = np.array([4.0, 5.0, -9.0, -9.0])
+    assert direct_risk(f, f > 0, 0.5)[1] < 0 and toxicity.risk(f, f > 0, 0.5)[0] == pytest.approx(direct_risk(f, f > 0, 0.5)[0])
+    assert (toxicity.risk(f, f > 0, 0.5)[1][:2] > 0).all() and (toxicity.risk(f, f > 0, 0.5)[1][2:] < 0).all()
+
+
+def test_bounds_and_prior_are_parameters(spark):
+    rows = [(i, ("vile " if i % 4 == 0 else "calm ") + f"w{i % 7} " * 3 + ("long " * 60_000 if i == 3 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    weights, bias = toxicity.fit(docs, table, prior=0.2, positives=40, unlabelled=150, features=2)
+    assert 0 < len(weights) <= 2 and math.isfinite(bias)
+    assert toxicity.score_toxicity(docs, table, positives=60, features=3).filter("predicted = 1 AND doc_id % 4 > 0").count() == 0
+
+
 def base_spans(text):
     found = []
     patterns = (
