@@ -7,11 +7,13 @@ one that merging would leave side by side, and steps back where no token fits;
 each place is given up at most once, so the work is linear in the word.
 Decoding gathers token bytes from one blob through an offset table.
 
-Words and their ids are kept from text to text in a cache of bounded size.
+Short words and their ids are kept from text to text in caches that are bounded
+in entries and in bytes.
 
 Defined cases: a null text is empty and has no ids; special tokens in a text
 become their ids; equal rows give equal rows; an empty table gives an empty
-result; texts of any length are processed whole.
+result; texts and words of any length are processed whole; columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: White space and what follows it: words never reach over such a cut.
 CHUNK = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Entries that each cache may hold.
-CACHE = 250_000
+#: Entries that each cache may hold, and the longest word or chunk (in characters) that is kept.
+CACHE, LONGEST = 250_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -155,6 +157,8 @@ class Encoder(dict):
         packed = self.late.get(chunk)
         if packed is None:
             packed = b"".join([self.words.get(w) or self.keep(w) for w in self.word.findall(chunk)])
+            if len(chunk) > LONGEST:
+                return packed
             if len(self) < CACHE:
                 self[chunk] = packed
             else:
@@ -165,9 +169,10 @@ class Encoder(dict):
 
     def keep(self, word: str) -> bytes:
         packed = b"".join([i.to_bytes(4, "little") for i in self.encode_word(word.encode())])
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[word] = packed
+        if len(word) <= LONGEST:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
