@@ -1,9 +1,8 @@
-"""What several operators need: the shared folder, settled tables, text batches."""
+"""What several operators need: joins by size and skew, text batches, settled tables."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.scratch import forget, new_path, settle, shared_dir
+
+__all__ = ["by_ids", "fold_case", "forget", "join_skewed", "let", "new_path", "read", "settle", "shared_dir", "small", "text_batches"]
+
 #: The six ASCII white-space characters between words.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of whole texts that one Arrow batch may hold; keeps Python workers' memory flat.
@@ -23,37 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir``. Where that is unset, a local session gets a
-    folder of its own; a cluster has no safe default, so that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from those files.
-
-    Cuts lineage in a way that outlives executors, and lets several consumers
-    share one computation.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if its rows, which are counted, are few; else marked to be hashed after a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df.hint("shuffle_hash")
@@ -68,26 +40,44 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str, on: tuple[str, ...] = ("doc_
 HOT_SHARE, HOT_ROWS = 10_000, 200
 
 
-def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, n: int, how: str = "inner") -> DataFrame:
-    """Inner or left join of ``n`` rows with a table of one row a key.
-
-    ``count`` names the table's column with the number of rows that have the key,
-    or with a bound of it. Hot keys, of which there can be at most ``HOT_SHARE``,
-    are sent to all tasks, so their rows stay where they are; all other rows meet
-    their keys by a shuffle, in which no key is hot.
+def join_skewed(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    count: str,
+    n: int,
+    how: str = "inner",
+    narrow: bool = False,
+) -> DataFrame:
+    """Inner or left join of ``n`` rows with a table of one row a key, on keys that aren't null.
+
+    ``count`` names the table's column with the number of rows that have the key.
+    A ``narrow`` table of few rows, which are counted, is sent to all tasks. Else a
+    hot key's table row is copied once for so many rows as aren't hot, and its rows
+    are dealt over the copies; all meet in one shuffle on key and copy. There are at
+    most ``HOT_SHARE`` hot keys, whose numbers are sent to all tasks.
     """
-    least = max(n // HOT_SHARE, HOT_ROWS)
-    hot = F.broadcast(table.filter(F.col(count) > least))
-    cold = table.filter(F.col(count) <= least)
-    rest = rows.join(F.broadcast(table.filter(F.col(count) > least).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+    if narrow and table.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(table), key, how)
+    most = max(n // HOT_SHARE, HOT_ROWS)
+    if n <= most:
+        return rows.join(table, key, how)
+    copies = F.ceil(F.col(count) / F.lit(most)).cast("int")
+    hot = F.broadcast(table.filter(F.col(count) > most).select(key, copies.alias("__copies")))
+    deal = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__copies")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, key, "left").withColumn("__copy", deal).drop("__copies")
+    copied = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.join(copied, [key, "__copy"], how).drop("__copy")
 
 
 _shipped: set[str] = set()
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Before whole texts go to Python: bound the rows of an Arrow batch, ship this package once."""
+    """Before whole texts go to Python: bound the rows of an Arrow batch, ship this package once.
+
+    The bound is a setting of the session, read when plans run, and stays set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:

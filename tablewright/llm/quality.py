@@ -154,7 +154,7 @@ def _judged(docs: DataFrame, host: str) -> DataFrame:
     measured = settle(measure(docs, host).withColumn("host_key", host_key), "quality")
     failed = F.greatest(*(F.col(f"{r}_rate") for r in RULES)) >= HOST_LIMIT
     verdicts = settle(host_rates(measured).select("host_key", "n", failed.alias("host_failed")), "quality-hosts")
-    rows = join_skewed(measured, verdicts, "host_key", "n", measured.count())
+    rows = join_skewed(measured, verdicts, "host_key", "n", measured.count(), narrow=True)
     kept = ~_any(RULES) & ~(F.col("host_failed") & _any(STRICT))
     return rows.withColumns({"base_failed": F.expr(RULES["base"]), "kept": kept})
 

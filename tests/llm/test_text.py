@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tablewright.llm import bpe, jaccard, packing, sharding, warc  # noqa: E402
+from tablewright.llm import bpe, common, jaccard, packing, sharding, warc  # noqa: E402
 from tablewright.llm.common import new_path  # noqa: E402
 
 BYTE, WORD = (str(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -197,10 +197,15 @@ def near_copies(seed, groups=6, each=14, words=60):
     return texts
 
 
-@pytest.mark.parametrize(("n", "percent", "few"), [(3, 90, 16), (3, 90, 3), (5, 80, 16), (5, 80, 2)])
-def test_components_by_brute_force(spark, monkeypatch, n, percent, few):
+@pytest.mark.parametrize(("n", "percent", "few", "large"), [(3, 90, 16, False), (3, 90, 3, True), (5, 80, 16, False), (5, 80, 2, True)])
+def test_components_by_brute_force(spark, monkeypatch, n, percent, few, large):
     monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 5)
+    if large:  # as on large tables: nothing is sent to all tasks, keys of few rows are hot
+        monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+        monkeypatch.setattr(jaccard, "TASKS", 2)
     texts = near_copies(n + few)
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int")
     got = sorted(tuple(r) for r in jaccard.jaccard_components(docs, n, percent).collect())
@@ -239,6 +244,26 @@ def test_texts_of_null_ids_have_sets(spark):
     assert [r.doc_id for r in jaccard.jaccard_components(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").collect()] != [3]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skewed_joins(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    table = rows.filter("k != 9").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    got = common.join_skewed(rows, table, "k", "n", 300, how)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.join(table, "k", how).collect()), key=repr)
+
+
+def test_codes_of_counts_keep_their_order():
+    counts = np.concatenate([np.arange(5000), 2 ** np.arange(13, 40)])
+    for bits in (8, 16):
+        codes = jaccard.to_code(counts, bits)
+        back = jaccard.from_code(codes)
+        exact = counts < 1 << (bits - 1)
+        assert (np.diff(codes.astype(int)) >= 0).all() and np.array_equal(back[exact], counts[exact])
+        fits = counts < 1 << (14 if bits == 8 else 39)
+        assert np.allclose(back[fits], counts[fits], rtol=0.1)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -353,3 +378,55 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[3] == kept[2]
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == kept[3]
+
+
+CLASHES = "doc_id long, text string, source string, n_chars string, row_key string, class string, kept boolean, label int, uses long"
+
+
+def through_stages(spark, docs, folder):
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    tables = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, tables[-1], folder).write.parquet(f"{folder}/{k}")
+        tables.append(spark.read.parquet(f"{folder}/{k}"))
+    return tables
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    for t in through_stages(spark, spark.createDataFrame([], CLASHES), str(tmp_path)):
+        assert t.count() == 0 and "doc_id" in t.columns
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    rnd = random.Random(11)
+    prose = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(60)) for _ in range(160)]
+    rows = [(i, t + (" vile nasty" if i % 5 == 0 else "")) for i, t in enumerate(prose)]
+    long = " ".join(f"l{rnd.randint(0, 10**6)}" for _ in range(60_000))
+    rows += [(7, prose[7])] * 3 + [(None, prose[8]), (None, prose[8]), (9, prose[11].upper()), (9, "short"), (None, None), (None, "")]
+    rows += [(500, long), (501, long + " end"), (None, " ".join(f"n{k}" for k in range(70)))]
+    docs = spark.createDataFrame([(i, t, "s", "many", "k", "c", False, 1, 2) for i, t in rows], CLASHES)
+    *tables, pieces = through_stages(spark, docs, str(tmp_path))
+    assert all(t.columns == docs.columns for t in tables)
+    after = [Counter((r.doc_id, (r.text or "").lower()) for r in t.collect()) for t in tables]
+    clean = Counter({k: n for k, n in after[0].items() if "vile" not in k[1]})
+    assert after[1] == clean
+    good = Counter({k: n for k, n in clean.items() if len(k[1].split()) >= 20})
+    assert after[2] == good
+    texts = {t for _, t in good} - {long + " end"}
+    assert len(after[3]) == sum(after[3].values()) == len(texts) and {t for _, t in after[3]} == texts
+    assert (8, prose[8]) in after[3] and (9, prose[9]) in after[3] and (9, prose[11]) in after[3] and (500, long) in after[3]
+    assert after[4] == after[3]
+    assert pieces.filter("piece = 0").count() == len(texts) and pieces.filter("doc_id = 500").count() > 50
+
+
+def test_runs_clean_up(spark, tmp_path):
+    from tablewright.scratch import clean, forget, settle, settled_so_far
+
+    mark = settled_so_far()
+    a, b, c = (settle(spark.range(k), "clean-test") for k in (3, 4, 5))
+    forget(a)
+    clean(spark, mark, keep=(c,))
+    assert c.count() == 5 and settled_so_far() == mark + 1
+    for gone in (a, b):
+        with pytest.raises(Exception, match="."):
+            gone.collect()
