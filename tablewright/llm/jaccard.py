@@ -58,7 +58,7 @@ LEAST_BITS, MOST_BITS, SLICES, TASKS = 16, 24, 64, 64
 #: Documents that may share a prefix n-gram before it goes to blocks.
 FEW = 16
 #: Documents and n-grams that a block may hold, about.
-BLOCK_DOCS, BLOCK_GRAMS = 400, 400_000
+BLOCK_DOCS, BLOCK_GRAMS = 200, 400_000
 #: Words whose hashes are kept, and the longest of them in bytes.
 CACHE, LONGEST = 120_000, 64
 
@@ -341,19 +341,23 @@ def _verified(pairs: DataFrame, unique: DataFrame, n: int, percent: int) -> Data
     rest = left.join(first, ["u", "v"], "left_anti")
     rest = _with_root(_with_root(rest, roots, left, "u", "ru"), roots, left, "v", "rv").filter(apart).select("u", "v")
     rest = settle(rest, "jaccard-rest")
+    if rest.isEmpty():
+        return links
     return links.unionAll(with_sets(rest, False).mapInArrow(exact, "u long, v long"))
 
 
 def _with_root(rows: DataFrame, roots: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
     """Rows with the root of ``key``, null where it has none; ``of``: a table whose rows bound theirs."""
     named = roots.select(F.col("id").alias(key), F.col("root").alias(name))
+    if roots.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(named), key, "left")
     uses = of.groupBy(key).agg(F.count(F.lit(1)).alias("uses"))
-    return join_skewed(rows, settle(named.join(uses, key), "jaccard-uses"), key, "uses", of.count(), "left", narrow=True).drop("uses")
+    return join_skewed(rows, settle(named.join(uses, key), "jaccard-uses"), key, "uses", of.count(), "left").drop("uses")
 
 
-def _open(many: DataFrame, links: DataFrame) -> DataFrame:
-    """(gram, doc_id, root) of frequent prefix n-grams whose documents the links don't connect."""
-    rooted = _with_root(many.select("gram", "doc_id"), settle(components(links), "jaccard-roots-so-far"), many, "doc_id", "root")
+def _open(many: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, doc_id, root) of frequent prefix n-grams whose documents aren't all of one root."""
+    rooted = _with_root(many.select("gram", "doc_id"), roots, many, "doc_id", "root")
     rooted = settle(rooted.select("gram", "doc_id", F.coalesce("root", "doc_id").alias("root")), "jaccard-rooted")
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("rows"))
     mixed = settle(mixed.filter("a != b").select("gram", "rows"), "jaccard-mixed")
@@ -457,7 +461,7 @@ def _class(text: Column) -> Column:
 
 def _one_of_each(rows: DataFrame, of: DataFrame, reps: DataFrame, n_rows: int) -> DataFrame:
     """(class, text): a row of the smallest id of each class, or any row where none has an id."""
-    copies = join_skewed(of, reps.select("class", "rep", "rows"), "class", "rows", n_rows, narrow=True)
+    copies = join_skewed(of, reps.select("class", "rep", "rows"), "class", "rows", n_rows)
     copies = settle(copies.filter(F.col("doc_id") != F.col("rep")).select("doc_id", "class"), "jaccard-copies")
     unique = by_ids(rows.filter(F.col("doc_id").isNotNull()), copies, "left_anti", ("doc_id", "class"))
     nameless = reps.filter("rep IS NULL").select("class")
@@ -494,17 +498,18 @@ def _found(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     prefix = settle(_prefixes(unique, counts, n, percent), "jaccard-prefixes")
     docs_of = settle(prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "jaccard-shared-grams")
-    shared = settle(join_skewed(prefix, docs_of, "gram", "docs", prefix.count(), narrow=True), "jaccard-shared")
+    shared = settle(join_skewed(prefix, docs_of, "gram", "docs", prefix.count()), "jaccard-shared")
     forget(prefix)
     many = settle(shared.filter(F.col("docs") > FEW).select("gram", "doc_id", "n", "pos"), "jaccard-many")
     pairs = settle(_pairs(shared, percent).unionAll(_hub_pairs(many, percent)).distinct(), "jaccard-candidates")
     forget(shared)
     links = settle(_verified(pairs, unique, n, percent), "jaccard-verified")
-    open_grams = _open(many, links)
+    roots = settle(components(links), "jaccard-components-so-far")
+    open_grams = _open(many, roots)
     if not open_grams.isEmpty():
         more = settle(_block_links(_dealt(open_grams, unique, n, percent), counts, percent), "jaccard-block-links")
-        links = links.unionAll(more)
-    roots = components(links)
+        stars = roots.select(F.col("id").alias("u"), F.col("root").alias("v"))  # connect what the links so far connect
+        roots = components(stars.unionAll(more))
 
     named = reps.select("class", "rep", "rows", node.alias("key")).join(size, "key", "left")
     named = named.join(roots, F.col("key") == F.col("id"), "left")
@@ -512,11 +517,11 @@ def _found(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = settle(named, "jaccard-roots")
     linked_ones, alone = named.filter("root IS NOT NULL"), named.filter("root IS NULL")
     least = settle(linked_ones.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("members")), "jaccard-least")
-    linked_ones = join_skewed(linked_ones, least, "root", "members", n_rows, narrow=True)
+    linked_ones = join_skewed(linked_ones, least, "root", "members", n_rows)
     columns = ["class", "rows", "n_shingles"]
     linked_ones = linked_ones.select(*columns, F.col("root").alias("node"), "least")
     alone = alone.select(*columns, F.col("key").alias("node"), F.col("rep").alias("least"))
-    out = join_skewed(of, settle(linked_ones.unionAll(alone), "jaccard-named"), "class", "rows", n_rows, narrow=True)
+    out = join_skewed(of, settle(linked_ones.unionAll(alone), "jaccard-named"), "class", "rows", n_rows)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     return out.select("doc_id", "class", "node", "n_shingles", component)
 
