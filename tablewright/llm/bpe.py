@@ -180,7 +180,13 @@ class Encoder(dict):
         if self.cut is None or "<" not in text:
             return b"".join(map(self.__getitem__, CHUNK.findall(text)))
         parts = self.cut.split(text)
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else b"".join(map(self.__getitem__, CHUNK.findall(x))) for i, x in enumerate(parts))
+
+        def of(i: int, part: str) -> bytes:
+            if i % 2:
+                return self.special[part].to_bytes(4, "little")
+            return b"".join(map(self.__getitem__, CHUNK.findall(part)))
+
+        return b"".join(of(i, part) for i, part in enumerate(parts))
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids, gathered in slices of bounded size."""
@@ -213,7 +219,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 counts.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(packed).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -55,7 +55,8 @@ def _repeated(h: Column) -> Column:
     """Words covered by windows of eight whose hash is in ``h`` twice or more."""
 
     def covered(starts: Column) -> Column:
-        gaps = F.zip_with(starts, F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8))))
+        later = F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0)))
+        gaps = F.zip_with(starts, later, lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8))))
         return F.aggregate(gaps, F.lit(0), lambda x, y: x + y)
 
     def of_sorted(s: Column) -> Column:
@@ -106,7 +107,9 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
             let(lines, line_counts).alias("lines"),
             F.when(n_words < 9, F.lit(0)).otherwise(let(h8, _repeated)).cast("long").alias("n_repeat_words"),
         )
-        .select("doc_id", "host", "row_key", "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").cast("long").alias("n_lines"))
+        .withColumn("n_dup_lines", F.col("lines.dup").cast("long"))
+        .withColumn("n_lines", F.col("lines.n").cast("long"))
+        .drop("lines")
     )
 
 

@@ -65,7 +65,8 @@ def interleave(docs: DataFrame, shards: int = 8, stratum: str = "source", seed:
     counts = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("share", "h", "stratum", "doc_id", "text_crc32", "size"))
-    at = ranked.withColumn("place", place).join(counts.select("bucket", before.alias("before")), "bucket").withColumn("at", F.col("before") + F.col("place") - 1)
+    at = ranked.withColumn("place", place).join(counts.select("bucket", before.alias("before")), "bucket")
+    at = at.withColumn("at", F.col("before") + F.col("place") - 1)
     shard = F.expr(f"CAST(at * {shards} DIV {max(n, 1)} AS INT)")
     first = F.expr(f"(shard * {n}L + {shards - 1}) DIV {shards}")
     return at.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "stratum", "shard", (F.col("at") - first).cast("long").alias("slot"))

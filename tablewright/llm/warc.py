@@ -36,14 +36,33 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 from .common import new_path, settle, text_batches
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Header of each text column.
-HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
+HEADERS = {
+    "record_type": "WARC-Type",
+    "record_id": "WARC-Record-ID",
+    "target_uri": "WARC-Target-URI",
+    "refers_to": "WARC-Refers-To",
+    "payload_digest": "WARC-Payload-Digest",
+}
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -177,7 +196,8 @@ class WarcReader(DataSourceReader):
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def record(row: dict) -> bytes:

@@ -818,7 +818,16 @@ def do_predictor(argb: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
     return _joined(out & 255)
 
 
-def encode(pixels: np.ndarray, *, palette: bool = False, subtract: bool = False, predictor: np.ndarray | None = None, cross: np.ndarray | None = None, tile: int = 2, **how: object) -> bytes:
+def encode(
+    pixels: np.ndarray,
+    *,
+    palette: bool = False,
+    subtract: bool = False,
+    predictor: np.ndarray | None = None,
+    cross: np.ndarray | None = None,
+    tile: int = 2,
+    **how: object,
+) -> bytes:
     """A WebP file of pixels (height, width, 3 or 4), red first; predictor and cross: their tile images."""
     height, width = pixels.shape[:2]
     alpha = pixels[..., 3] if pixels.shape[2] == 4 else np.full((height, width), 255, np.uint8)
@@ -1035,4 +1044,5 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return rows.mapInArrow(run, f"doc_id {kind}, {fields}")
