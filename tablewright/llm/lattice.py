@@ -9,9 +9,9 @@ temperature and the probability of the end, both from the pieces' expected count
 over the lattices of all training words.
 
 Each different word is weighed once, in a table that Spark counts and shuffles;
-the recursion runs over batches of words of one length. The ``HEAD`` most
-used words of that table, a fixed number, go to all tasks; other words of a
-document, none of which can be hot, meet the table by a join on the word.
+the recursion runs over batches of words of one length. The most used words of
+that table, ``HEAD`` at most, go to all tasks; other words of a document, none of
+which can be hot, meet the table by a join on the word.
 
 Base scores are add-one unigram scores from the same word counts.
 
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import settle, text_batches
 
 FOLDS, HELD_OUT = 7, 2
-HEAD = 100_000
+#: Words that go to all tasks, at most; levels of use for each power of two, of which whole ones go.
+HEAD, LEVELS = 100_000, 16
 #: Temperatures between which the fitted one is sought.
 COLDEST, HOTTEST = 0.05, 8.0
 FLUSH = 250_000
@@ -266,6 +267,17 @@ def fit(table: DataFrame, path: str, n_docs: int) -> tuple[np.ndarray, float]:
     return logp + math.log(total / (total + n_docs)), math.log(n_docs / (total + n_docs))
 
 
+def _least_level(counted: list) -> int:
+    """The lowest level so that all words from it on are ``HEAD`` at most; counted: a row (level, n) for each."""
+    least, total = 1 << 30, 0
+    for row in sorted(counted, key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > HEAD:
+            break
+        least = row["level"]
+    return least
+
+
 def score_documents(docs: DataFrame, path: str) -> DataFrame:
     """Base and lattice scores of every document, log10, with token counts."""
     spark = docs.sparkSession
@@ -291,7 +303,9 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
 
     kinds = "word binary, c long, uses long, base double, marginal double"
     weighed = settle(table.mapInArrow(weigh, kinds), "lm-weights")
-    top = weighed.orderBy(F.desc("uses"), "word").limit(HEAD).select("word", "c", "base", "marginal")
+    level = F.floor(F.log2("uses") * LEVELS)
+    least = _least_level(weighed.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect())
+    top = weighed.filter(level >= least).select("word", "c", "base", "marginal")
     sent = spark.sparkContext.broadcast(top.toArrow())  # HEAD rows at most
     end_base, end_score = math.log10(n_docs + 1) - scale, log_end / ten
 

@@ -83,6 +83,12 @@ def test_base_scores_by_brute_force(spark, monkeypatch):
     assert lattice.score_documents(docs.limit(0), PATH).count() == 0
 
 
+def test_the_head_is_bounded(monkeypatch):
+    monkeypatch.setattr(lattice, "HEAD", 10)
+    rows = [{"level": k, "n": n} for k, n in ((0, 50), (3, 6), (9, 2), (7, 2))]
+    assert lattice._least_level(rows) == 3 and lattice._least_level(rows[:1]) > 1000 and lattice._least_level([]) > 1000
+
+
 def brute_log10(model, word):
     return math.log10(sum(p for p, _ in segmentations(model, lattice.MARK + word)))
 
