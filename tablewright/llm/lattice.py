@@ -8,6 +8,16 @@ are the weights: its scores are merge ranks r, and a piece's weight is
 temperature and the probability of the end, both from the pieces' expected counts
 over the lattices of all training words.
 
+That alone spells every word anew, so texts of a corpus score far below its base
+scores. ``adapt`` lets training documents weigh in at three levels, each a
+probability given the one below. Pieces: half of a weight is the vocabulary's at
+the fitted temperature, half the piece's share of the expected uses, each
+different training word counted once. Words: each training word is one more edge
+over its whole lattice, of its count less a discount; what discounts free is the
+weight of the lattice. Documents: a text's words are drawn from a Dirichlet
+distribution around those weights, so a word used once is likelier again; its
+probability depends on the numbers of uses only.
+
 Each different word is weighed once, in a table that Spark counts and shuffles;
 the recursion runs over batches of words of one length. The most used words of
 that table, ``HEAD`` at most, go to all tasks; other words of a document, none of
@@ -18,7 +28,8 @@ Base scores are add-one unigram scores from the same word counts.
 Defined cases: a null or empty text is the end alone; equal rows get equal
 rows; a null doc_id counts as the text ''; texts and words of any length are
 scored whole; with no training documents every count is 0, the temperature is 1
-and the end is free; an empty table gives an empty result; other columns are
+and the end is free; adapted, words then weigh what the lattice says and the end a
+half, and no probability is 0, whatever was counted; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
 
@@ -41,6 +52,10 @@ FOLDS, HELD_OUT = 7, 2
 HEAD, LEVELS = 100_000, 16
 #: Temperatures between which the fitted one is sought.
 COLDEST, HOTTEST = 0.05, 8.0
+#: Adapted: the vocabulary's share of the weights of pieces, and the least and largest discount of a word's count.
+OWN_SHARE, DISCOUNTS = 0.5, (0.1, 0.9)
+#: Adapted: how many uses of a document's own would weigh as much as the corpus.
+CORPUS_USES = 1600.0
 FLUSH = 250_000
 #: Words that are weighed together; characters from which a word is weighed alone.
 TOGETHER, LONG = 40_000, 200
@@ -237,15 +252,15 @@ def scaled(own: np.ndarray, temperature: float) -> np.ndarray:
     return logp - np.logaddexp.reduce(logp[own > 0])
 
 
-def expected_uses(table: DataFrame, path: str) -> np.ndarray:
-    """Expected uses of each piece over all training words, under the vocabulary's own weights."""
+def expected_uses(table: DataFrame, path: str, once: bool = False) -> np.ndarray:
+    """Expected uses of each piece over all training words, or each ``once``, under the vocabulary's own weights."""
     own = pieces(path)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, scaled(own, 1.0))
         total = np.zeros(len(own))
         for batch in _together(batches):
-            counts = batch.column("c").to_numpy().astype(float)
+            counts = np.ones(batch.num_rows) if once else batch.column("c").to_numpy().astype(float)
             total += lattice.expected([w.decode() for w in batch.column("word").to_pylist()], counts)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -267,6 +282,43 @@ def fit(table: DataFrame, path: str, n_docs: int) -> tuple[np.ndarray, float]:
     return logp + math.log(total / (total + n_docs)), math.log(n_docs / (total + n_docs))
 
 
+def fit_mixed(table: DataFrame, path: str) -> np.ndarray:
+    """Log weights of pieces, in part the vocabulary's, in part of the different training words."""
+    own, uses = pieces(path)[1], expected_uses(table, path, once=True)
+    if not uses.sum():
+        return scaled(own, 1.0)
+    mixed = OWN_SHARE * np.exp(scaled(own, best_temperature(own, uses))) + (1 - OWN_SHARE) * uses / uses.sum()
+    with np.errstate(divide="ignore"):
+        return np.log(mixed)
+
+
+def discount(once: int, twice: int) -> float:
+    """What a word's count is lowered by, from the numbers of words counted once and twice."""
+    low, high = DISCOUNTS
+    return min(max(once / max(once + 2 * twice, 1), low), high)
+
+
+def with_counts(marginal: np.ndarray, c: np.ndarray, less: float, words: int, different: int) -> np.ndarray:
+    """Log weights of words: counts less a discount, and the lattice by what that frees and one use more."""
+    with np.errstate(divide="ignore"):
+        counted = np.log(np.maximum(c - less, 0.0))
+    return np.logaddexp(counted, math.log(less * different + 1) + marginal) - math.log(words + 1)
+
+
+def log10_uses(value: float, k: int) -> float:
+    """What k uses of a word of this log10 weight add to a document's score."""
+    value += math.log10(CORPUS_USES)
+    if k == 1:
+        return value
+    held = 10.0**value
+    return value + (math.lgamma(held + k) - math.lgamma(held + 1)) / math.log(10)
+
+
+def log10_all(n: int) -> float:
+    """What n words of any kind take from a document's score."""
+    return (math.lgamma(CORPUS_USES + n) - math.lgamma(CORPUS_USES)) / math.log(10)
+
+
 def _least_level(counted: list) -> int:
     """The lowest level so that all words from it on are ``HEAD`` at most; counted: a row (level, n) for each."""
     least, total = 1 << 30, 0
@@ -278,17 +330,22 @@ def _least_level(counted: list) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Base and lattice scores of every document, log10, with token counts."""
+def score_documents(docs: DataFrame, path: str, adapt: bool = False) -> DataFrame:
+    """Base and lattice scores of every document, log10, with token counts; ``adapt``: see above."""
     spark = docs.sparkSession
     text_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text")
     table = settle(count_words(rows), "lm-words")
-    seen = table.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    kinds = {"v": F.col("c") > 0, "once": F.col("c") == 1, "twice": F.col("c") == 2}
+    seen = table.agg(F.sum("c").alias("n"), *(F.count_if(x).alias(k) for k, x in kinds.items())).first()
     n_docs = rows.filter(~F.col("held_out")).count()
-    total, different = (seen["n"] or 0) + n_docs, seen["v"] + (n_docs > 0)
-    logp, log_end = fit(table, path, n_docs)
+    n_words, less = seen["n"] or 0, discount(seen["once"], seen["twice"])
+    total, different = n_words + n_docs, seen["v"] + (n_docs > 0)
+    if adapt:
+        logp, log_end = fit_mixed(table, path), math.log((n_docs + 1) / (total + 2))
+    else:
+        logp, log_end = fit(table, path, n_docs)
     sent_logp = spark.sparkContext.broadcast(logp)
     ten = math.log(10)
     scale = math.log10(total + different + 1)
@@ -296,9 +353,11 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, sent_logp.value)
         for batch in _together(batches):
-            marginal = lattice.marginals([w.decode() for w in batch.column("word").to_pylist()]) / ten
-            base = np.log10(batch.column("c").to_numpy() + 1.0) - scale
-            columns = [*batch.columns, pa.array(base), pa.array(marginal)]
+            marginal = lattice.marginals([w.decode() for w in batch.column("word").to_pylist()])
+            c = batch.column("c").to_numpy()
+            if adapt:
+                marginal = with_counts(marginal, c, less, n_words, seen["v"])
+            columns = [*batch.columns, pa.array(np.log10(c + 1.0) - scale), pa.array(marginal / ten)]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "uses", "base", "marginal"])
 
     kinds = "word binary, c long, uses long, base double, marginal double"
@@ -308,6 +367,7 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     top = weighed.filter(level >= least).select("word", "c", "base", "marginal")
     sent = spark.sparkContext.broadcast(top.toArrow())  # HEAD rows at most
     end_base, end_score = math.log10(n_docs + 1) - scale, log_end / ten
+    log_more = math.log10((n_words + 1) / (total + 2))  # adapted: a word comes, not the end
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, *values = (x.to_pylist() for x in sent.value.columns)
@@ -318,6 +378,8 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
             for text in batch.column("text"):
                 words = _words(text.as_py())
                 known, base, total = int(n_docs > 0), end_base, end_score
+                if adapt:
+                    total += len(words) * log_more - log10_all(len(words))
                 rest: dict[bytes, int] = {}
                 for w, k in Counter(words).items():
                     found = get(w)
@@ -326,7 +388,7 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
                     else:
                         known += k * found[0]
                         base += k * found[1]
-                        total += k * found[2]
+                        total += log10_uses(found[2], k) if adapt else k * found[2]
                 for column, value in zip(columns, (len(words) + 1, known, base, total, list(rest), list(rest.values())), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
@@ -338,10 +400,15 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     part = settle(numbered.mapInArrow(score, f"doc_id {kind}, held_out boolean, {kinds}"), "lm-documents")
     rest = part.select("row", F.explode(F.arrays_zip("words", "uses")).alias("w"))
     rest = rest.select("row", F.col("w.words").alias("word"), F.col("w.uses").alias("k"))
+    value = F.col("k") * F.col("marginal")
+    if adapt:  # as log10_uses; words that don't go to all tasks are used seldom
+        first = F.col("marginal") + math.log10(CORPUS_USES)
+        again = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k") - 1), F.lit(0.0), lambda s, j: s + F.log10(F.pow(F.lit(10.0), first) + j))
+        value = first + F.when(F.col("k") > 1, again).otherwise(0.0)
     sums = [
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"),
         F.sum(F.col("k") * F.col("base")).alias("b"),
-        F.sum(F.col("k") * F.col("marginal")).alias("s"),
+        F.sum(value).alias("s"),
     ]
     rest = rest.join(weighed.drop("uses"), "word").groupBy("row").agg(*sums)
     out = part.drop("words", "uses").join(rest, "row", "left")

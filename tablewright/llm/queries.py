@@ -45,7 +45,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.score_documents(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return lattice.score_documents(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), adapt=True)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

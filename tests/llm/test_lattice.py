@@ -128,3 +128,58 @@ def test_nothing_to_learn_from(spark):
     assert all(r.held_out and r.n_known == r.train_tokens == 0 and r.base_score == 0 for r in got.values())
     assert got[ids[0]].score == pytest.approx(brute_log10(model, "the") + brute_log10(model, "cat")) and got[ids[1]].score == 0
     assert got[ids[2]].score == pytest.approx(40_000 * model.marginals(["long"])[0] / math.log(10)) and got[ids[3]].n_tokens == 2
+
+
+def test_adapted_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "HEAD", 2)
+    texts = ["the cat sat", None, "the the nation the", "über x über", "A cat", "漢 dog the", "new ones new new", "cat über über über"] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    train = [(t or "").lower().split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, own = Counter(w for ws in train for w in ws), lattice.pieces(PATH)[1]
+    first, uses = lattice.Lattice(PATH, lattice.scaled(own, 1.0)), np.zeros(len(own))
+    for word in counts:
+        found = list(segmentations(first, lattice.MARK + word))
+        for p, ids in found:
+            for at in ids:
+                if at >= 0:
+                    uses[at] += p / sum(q for q, _ in found)
+    mixed = 0.5 * np.exp(lattice.scaled(own, lattice.best_temperature(own, uses))) + 0.5 * uses / uses.sum()
+    with np.errstate(divide="ignore"):
+        model = lattice.Lattice(PATH, np.log(mixed))
+    n, once, twice = sum(counts.values()), sum(k == 1 for k in counts.values()), sum(k == 2 for k in counts.values())
+    less = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    chance = lambda w: (max(counts[w] - less, 0) + (less * len(counts) + 1) * 10 ** brute_log10(model, w)) / (n + 1)
+    end = (len(train) + 1) / (n + len(train) + 2)
+    got = {r.doc_id: r.score for r in lattice.score_documents(docs, PATH, adapt=True).collect()}
+    for i, t in enumerate(texts):
+        want, held = math.log10(end), Counter()
+        for at, w in enumerate((t or "").lower().split()):  # a word at a time, given those before it
+            want += math.log10((1 - end) * (lattice.CORPUS_USES * chance(w) + held[w]) / (lattice.CORPUS_USES + at))
+            held[w] += 1
+        assert got[i] == pytest.approx(want, rel=1e-9), t
+
+
+def test_held_out_scores_keep_near_base_scores(spark, tmp_path):
+    from tablewright.llm.queries import op8_lm_scoring
+
+    random = np.random.default_rng(8)
+    parts = ["th", "er", "on", "an", "re", "ti", "sh", "wh"]
+    words = np.array(["".join(random.choice(parts, random.integers(1, 4))) for _ in range(3000)])
+    texts = [" ".join(words[(3000 * random.random(80) ** 3).astype(int)]) for _ in range(300)]
+    texts += ["", None, "\U0001f600" * 3, "z" * 5000, "never counted ones"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op8_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id < 300]
+    assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
+
+
+def test_adapted_scores_are_finite_whatever_was_counted(spark):
+    held = [i for i in range(80) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(80) if i not in held]
+    known = {"nothing": [], "ends alone": ["", None], "no word once": ["a b a b", "a b"], "each once": ["a b c"]}
+    for name, texts in known.items():
+        rows = [*zip(train, texts), *zip(held, ["", "a", "new a new", "q" * 3000])]  # noqa: B905
+        got = lattice.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, adapt=True).collect()
+        assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got), name
