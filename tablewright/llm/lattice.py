@@ -299,17 +299,14 @@ def discount(once: int, twice: int) -> float:
 
 
 def with_counts(marginal: np.ndarray, c: np.ndarray, less: float, words: int, different: int) -> np.ndarray:
-    """Log weights of words: counts less a discount, and the lattice by what that frees and one use more."""
+    """Log of a word's share in ``CORPUS_USES``: counts less a discount, and the lattice by what that frees and one use more."""
     with np.errstate(divide="ignore"):
         counted = np.log(np.maximum(c - less, 0.0))
-    return np.logaddexp(counted, math.log(less * different + 1) + marginal) - math.log(words + 1)
+    return np.logaddexp(counted, math.log(less * different + 1) + marginal) + math.log(CORPUS_USES / (words + 1))
 
 
 def log10_uses(value: float, k: int) -> float:
-    """What k uses of a word of this log10 weight add to a document's score."""
-    value += math.log10(CORPUS_USES)
-    if k == 1:
-        return value
+    """What k uses of a word with this log10 share add to a document's score; one use adds the share."""
     held = 10.0**value
     return value + (math.lgamma(held + k) - math.lgamma(held + 1)) / math.log(10)
 
@@ -388,7 +385,7 @@ def score_documents(docs: DataFrame, path: str, adapt: bool = False) -> DataFram
                     else:
                         known += k * found[0]
                         base += k * found[1]
-                        total += log10_uses(found[2], k) if adapt else k * found[2]
+                        total += log10_uses(found[2], k) if adapt and k > 1 else k * found[2]
                 for column, value in zip(columns, (len(words) + 1, known, base, total, list(rest), list(rest.values())), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
@@ -402,9 +399,9 @@ def score_documents(docs: DataFrame, path: str, adapt: bool = False) -> DataFram
     rest = rest.select("row", F.col("w.words").alias("word"), F.col("w.uses").alias("k"))
     value = F.col("k") * F.col("marginal")
     if adapt:  # as log10_uses; words that don't go to all tasks are used seldom
-        first = F.col("marginal") + math.log10(CORPUS_USES)
-        again = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k") - 1), F.lit(0.0), lambda s, j: s + F.log10(F.pow(F.lit(10.0), first) + j))
-        value = first + F.when(F.col("k") > 1, again).otherwise(0.0)
+        share, more = F.pow(F.lit(10.0), F.col("marginal")), F.sequence(F.lit(1).cast("long"), F.col("k") - 1)
+        again = F.aggregate(more, F.lit(0.0), lambda s, j: s + F.log10(share + j))
+        value = F.col("marginal") + F.when(F.col("k") > 1, again).otherwise(0.0)
     sums = [
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"),
         F.sum(F.col("k") * F.col("base")).alias("b"),
